@@ -14,24 +14,34 @@ def _integer_text(value: Column) -> Column:
     return F.when(J.type_name(value) == "integer", J.get(value, "$", "string"))
 
 
-def cover_code(value: Column) -> Column:
+# A leaf is read once as (schema, text): the schema of the value and the value as text. The
+# schema of a scalar is one short word, so comparing it is cheap.
+
+
+def leaf(value: Column) -> tuple[Column, Column]:
+    """(schema, text) of a value."""
+    return F.schema_of_variant(value), J.get(value, "$", "string")
+
+
+def is_integer(schema: Column) -> Column:
+    """Integers of up to 18 digits are BIGINT; a short DECIMAL(n,0) was written as 1.0."""
+    return (schema == "BIGINT") | schema.rlike(r"^DECIMAL\((19|2[0-9]|3[0-9]),0\)$")
+
+
+def cover_code(schema: Column, text: Column) -> Column:
     """An integer as text, or non-blank text; anything else is NULL."""
-    return F.coalesce(
-        _integer_text(value),
-        F.when(J.is_text(value), X.non_blank(J.get(value, "$", "string"))),
-    )
+    return F.when(schema == "STRING", X.non_blank(text)).when(is_integer(schema), text)
 
 
-def cover_text(value: Column) -> Column:
+def cover_text(schema: Column, text: Column) -> Column:
     """Non-blank text, trimmed; anything else is NULL."""
-    return F.when(J.is_text(value), X.non_blank(J.get(value, "$", "string")))
+    return F.when(schema == "STRING", X.non_blank(text))
 
 
-def rule_code(value: Column) -> Column:
+def rule_code(schema: Column, text: Column) -> Column:
     """A positive integer or ASCII digits, as text without leading zeros, else NULL."""
-    text = F.coalesce(_integer_text(value), F.when(J.is_text(value), J.get(value, "$", "string")))
-    digits = F.when(text.rlike("^[0-9]+$"), F.regexp_replace(text, "^0+", ""))
-    return F.nullif(digits, F.lit(""))
+    digits = ((schema == "STRING") | is_integer(schema)) & text.rlike("^0*[1-9][0-9]*$")
+    return F.when(digits, F.ltrim(text, F.lit("0")))
 
 
 def nested_codes(value: Column, depth: int = 4) -> Column:

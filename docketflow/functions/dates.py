@@ -10,12 +10,10 @@ from pyspark.sql import functions as F
 SCHEDULE_ZONE = "America/Sao_Paulo"
 SCHEDULE_HOUR = 6
 
-_COMPACT = r"^[0-9]{14}$"
-_ISO = (
-    r"^([0-9]{4})-?([0-9]{2})-?([0-9]{2})"
-    r"(?:[T ]([0-9]{2})(?::?([0-9]{2})(?::?([0-9]{2})(?:[.,]([0-9]+))?)?)?)?"
-    r"(Z|[+-][0-9]{2}(?::?[0-9]{2})?)?$"
-)
+_COMPACT = r"^([0-9]{4})([0-9]{2})([0-9]{2})([0-9]{2})([0-9]{2})([0-9]{2})$"
+_OFFSET = r"(Z|[+-][0-9]{2}(:?[0-9]{2})?)"
+_TIME = r" [0-9]{2}(:[0-9]{2}(:[0-9]{2}([.,][0-9]+)?)?)?"
+_DAY = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
 
 
 @dataclass(frozen=True)
@@ -27,43 +25,36 @@ class SourceDate:
     aware: Column  #: whether the text names an offset and is readable
 
 
-def parse(text: Column, date_only: bool = True) -> SourceDate:
-    """Read compact digits or an ISO text. Never assumes a zone.
+def readable(text: Column, date_only: bool = True) -> Column:
+    """The text in one plain form, NULL when it is no date text.
 
+    Compact digits get their separators, a bare hour gets minutes, an offset gets a colon.
     ``date_only`` allows a text without a time of day.
     """
-    compact = text.rlike(_COMPACT)
+    plain = F.translate(F.regexp_replace(text, _COMPACT, "$1-$2-$3 $4:$5:$6"), ",T", ". ")
+    shape = f"^{_DAY}({_TIME}{_OFFSET}?)?$" if date_only else f"^{_DAY}{_TIME}{_OFFSET}?$"
+    timed = F.regexp_replace(plain, rf"^({_DAY} [0-9]{{2}}(:[0-9]{{2}})?)({_OFFSET}?)$", "$1:00:00$3")
+    seconds = F.regexp_replace(timed, r"( [0-9]{2}:[0-9]{2}:00):00", "$1")
+    offset = F.regexp_replace(
+        F.regexp_replace(seconds, r"( .*[+-][0-9]{2})$", "$1:00"), r"( .*[+-][0-9]{2})([0-9]{2})$", "$1:$2"
+    )
+    return F.when(plain.rlike(shape), offset)
 
-    def part(index: int) -> Column:
-        return F.regexp_extract(text, _ISO, index)
 
-    clock = F.concat(
-        part(1), F.lit("-"), part(2), F.lit("-"), part(3), F.lit(" "),
-        F.when(part(4) == "", "00").otherwise(part(4)), F.lit(":"),
-        F.when(part(5) == "", "00").otherwise(part(5)), F.lit(":"),
-        F.when(part(6) == "", "00").otherwise(part(6)), F.lit("."),
-        F.rpad(F.substring(part(7), 1, 6), 6, "0"),
-    )
-    digits = F.concat(
-        F.substring(text, 1, 4), F.lit("-"), F.substring(text, 5, 2), F.lit("-"), F.substring(text, 7, 2),
-        F.lit(" "), F.substring(text, 9, 2), F.lit(":"), F.substring(text, 11, 2), F.lit(":"),
-        F.substring(text, 13, 2),
-    )
-    iso = text.rlike(_ISO) if date_only else (text.rlike(_ISO) & text.rlike("[T ]"))
-    wall = F.when(compact, digits).when(iso, clock).try_cast("timestamp_ntz")
-    zone = part(8)
-    offset_minutes = F.when(zone == "Z", F.lit(0)).otherwise(
-        (F.substring(zone, 2, 2).try_cast("int") * 60
-         + F.coalesce(F.regexp_extract(zone, r"^[+-][0-9]{2}:?([0-9]{2})$", 1).try_cast("int"), F.lit(0)))
-        * F.when(zone.startswith("-"), -1).otherwise(1)
+def parsed(plain: Column) -> SourceDate:
+    """Wall clock, instant and awareness of a text in plain form. Never assumes a zone."""
+    has_offset = plain.rlike(rf" .*{_OFFSET}$")
+    wall = F.regexp_replace(plain, rf"( .*?){_OFFSET}$", "$1").try_cast("timestamp_ntz")
+    return SourceDate(
+        wall=wall,
+        instant=F.when(has_offset, plain.try_cast("timestamp")),
+        aware=F.coalesce(has_offset & wall.isNotNull(), F.lit(False)),
     )
-    aware = F.coalesce(~compact & (zone != "") & wall.isNotNull(), F.lit(False))
-    # The session zone is UTC, so the reading is taken as UTC and then shifted by its offset.
-    instant = F.when(
-        aware,
-        F.timestamp_micros(F.unix_micros(wall.cast("timestamp")) - offset_minutes.cast("long") * 60_000_000),
-    )
-    return SourceDate(wall=wall, instant=instant, aware=aware)
+
+
+def parse(text: Column, date_only: bool = True) -> SourceDate:
+    """Both steps at once, for a single use; larger plans keep the plain form in a column."""
+    return parsed(readable(text, date_only))
 
 
 def iso_micros(moment: Column) -> Column:
@@ -77,17 +68,17 @@ def iso_z(moment: Column) -> Column:
     return F.concat(base, F.when(fraction != "000000", F.concat(F.lit("."), fraction)).otherwise(""), F.lit("Z"))
 
 
-def status(present: Column, is_null: Column, text: Column) -> Column:
+def status(schema: Column, wall: Column, aware: Column) -> Column:
     """missing, null, timezone_aware, timezone_ambiguous or unparseable.
 
-    ``text`` is NULL for a value that is not a JSON string.
+    ``schema`` is the schema of the JSON value, NULL for a missing one; ``wall`` and ``aware`` come
+    from its parsed text.
     """
-    date = parse(text, date_only=False)
     return (
-        F.when(~present, "missing")
-        .when(is_null, "null")
-        .when(date.wall.isNull(), "unparseable")
-        .when(date.aware, "timezone_aware")
+        F.when(schema.isNull(), "missing")
+        .when(schema == "VOID", "null")
+        .when((schema != "STRING") | wall.isNull(), "unparseable")
+        .when(aware, "timezone_aware")
         .otherwise("timezone_ambiguous")
     )
 

@@ -6,23 +6,19 @@ order, nulls, and the difference between 1, 1.0, "1" and true.
 
 from __future__ import annotations
 
-import json
-import math
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docketflow.functions.exact import canonical_texts
+
 # A VARIANT normalises 1.0 to 1 and sorts keys by UTF-16 unit, and it writes control characters
-# with upper-case escapes. A text that may hold any of these takes the exact path below. The test
-# is allowed to hit too often (a number inside a string), never too seldom.
-_NEEDS_EXACT = (
-    r"(^|[:\[,\s])-?[0-9]+(\.|[eE])"
-    r"|(^|[:\[,\s])-?[0-9]{38,}"
-    r"|\\u00|\\u[dD][89abAB]"
-    r"|[\x{10000}-\x{10FFFF}]"
-)
+# with upper-case escapes. A text that may hold any of these takes the exact path below. The tests
+# may hit too often (a number inside a string), never too seldom. A number follows a key and its
+# colon, a bracket or a comma; the clock digits of a date text follow another digit and a colon.
+_ODD_NUMBER = r'(?:^|"\s*+:|[\[,])\s*+-?+(?:[0-9]{38}|[0-9]++[.eE])'
+_ODD_ESCAPE = r"\\u(?:00|[dD][89abAB])"
+_ODD_CHARACTER = r"[\x{10000}-\x{10FFFF}]"
 
 
 def get(value: Column, path: str, as_type: str = "variant") -> Column:
@@ -35,23 +31,20 @@ def is_json_null(value: Column) -> Column:
     return F.coalesce(F.is_variant_null(value), F.lit(False))
 
 
+_KINDS = {
+    "VOID": "null", "BOOLEAN": "boolean", "BIGINT": "integer", "DECIMAL": "number", "DOUBLE": "number",
+    "FLOAT": "number", "STRING": "string", "OBJECT": "object", "ARRAY": "array",
+}
+
+
 def type_name(value: Column) -> Column:
     """null, boolean, integer, number, string, object or array; NULL when missing."""
     schema = F.schema_of_variant(value)
-    digits = F.regexp_extract(schema, r"^DECIMAL\((\d+),0\)$", 1)
-    return (
-        F.when(value.isNull(), F.lit(None).cast("string"))
-        .when(schema == "VOID", "null")
-        .when(schema == "BOOLEAN", "boolean")
-        .when(schema == "BIGINT", "integer")
-        # Integers of up to 18 digits are BIGINT, so a short DECIMAL(n,0) was written as 1.0.
-        .when(digits.try_cast("int") >= 19, "integer")
-        .when(schema.startswith("DECIMAL") | (schema == "DOUBLE") | (schema == "FLOAT"), "number")
-        .when(schema == "STRING", "string")
-        .when(schema.startswith("OBJECT"), "object")
-        .when(schema.startswith("ARRAY"), "array")
-        .otherwise("other")
-    )
+    # Integers of up to 18 digits are BIGINT, so a short DECIMAL(n,0) was written as 1.0.
+    plain = F.regexp_replace(schema, r"^DECIMAL\((19|2[0-9]|3[0-9]),0\)$", "BIGINT")
+    word = F.regexp_replace(plain, r"(?s)[<(].*", "")
+    kinds = F.create_map(*[F.lit(part) for pair in _KINDS.items() for part in pair])
+    return F.element_at(kinds, word)
 
 
 def is_object(value: Column) -> Column:
@@ -70,50 +63,29 @@ def text_at(value: Column, path: str) -> Column:
 
 def needs_exact(text: Column) -> Column:
     """Whether native VARIANT text could differ from the canonical text."""
-    return F.coalesce(text.rlike(_NEEDS_EXACT), F.lit(False))
+    escapes = F.contains(text, F.lit("\\u")) & text.rlike(_ODD_ESCAPE)
+    characters = (F.octet_length(text) != F.char_length(text)) & text.rlike(_ODD_CHARACTER)
+    return F.coalesce(text.rlike(_ODD_NUMBER) | escapes | characters, F.lit(False))
 
 
-def _canonical_or_none(text: str | None) -> str | None:
-    if text is None:
-        return None
-    try:
-        value = json.loads(text)
-        return dump_canonical(value)
-    except ValueError:
-        return None
+_canonical_exact = F.pandas_udf(canonical_texts, T.StringType())
 
 
-def _finite(value: object) -> bool:
-    if isinstance(value, float):
-        return math.isfinite(value)
-    if isinstance(value, list):
-        return all(_finite(item) for item in value)
-    if isinstance(value, dict):
-        return all(_finite(item) for item in value.values())
-    return True
+def rewrite(native: Column, text: Column) -> Column:
+    """The native canonical text where there is one, else the text in its exact form.
 
-
-def dump_canonical(value: object) -> str:
-    """Canonical text of one parsed value; non-finite numbers are an error."""
-    if not _finite(value):
-        raise ValueError("non-finite number")
-    return json.dumps(value, ensure_ascii=False, allow_nan=False, separators=(",", ":"), sort_keys=True)
-
-
-@F.pandas_udf(T.StringType())
-def _canonical_exact(texts: pd.Series) -> pd.Series:
-    return texts.map(_canonical_or_none, na_action="ignore")
+    Rows with a native form send the Arrow helper a NULL.
+    """
+    return F.coalesce(native, _canonical_exact(F.when(native.isNull(), text)))
 
 
 def canonical_json(text: Column) -> Column:
     """Canonical text of a JSON text, NULL for text that is no JSON value.
 
     Nearly every row is rewritten inside the JVM; only rows with fractions, very long numbers or
-    unusual characters carry a text to the Arrow helper, the others send it a NULL.
+    unusual characters take the exact form.
     """
-    exact = needs_exact(text)
-    native = F.to_json(F.try_parse_json(text))
-    return F.coalesce(_canonical_exact(F.when(exact, text)), F.when(~exact, native))
+    return rewrite(F.when(~needs_exact(text), F.to_json(F.try_parse_json(text))), text)
 
 
 def content_hash(canonical: Column) -> Column:

@@ -36,8 +36,7 @@ def strip(text: Column) -> Column:
 
 def non_blank(text: Column) -> Column:
     """The trimmed text, or NULL when nothing is left."""
-    trimmed = strip(text)
-    return F.when(trimmed != "", trimmed)
+    return F.nullif(strip(text), F.lit(""))
 
 
 def case_number(text: Column) -> Column:

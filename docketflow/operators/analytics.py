@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docketflow.functions import codes as C
 from docketflow.functions import dates as D
+from docketflow.functions import jsonvalue as J
 from docketflow.functions import text as X
 from docketflow.operators.filters import (
     CaseTables, ProcessFilters, current_signals, select_processes, with_triage,
@@ -316,19 +318,17 @@ def run_list(runs: DataFrame, status: str | None = None, kind: str | None = None
 
 def observed_codes(versions: DataFrame) -> DataFrame:
     """Class and subject codes that a stored payload really carries."""
-    from docketflow.functions import codes as C
-    from docketflow.functions import jsonvalue as J
-
-    value = F.try_parse_json("payload")
-    opened = versions.select("version_id", value.alias("__v"))
-    classes = opened.select(
-        "version_id", F.lit("class").alias("dimension"), C.rule_code(J.get(F.col("__v"), "$.classe.codigo")).alias("code")
+    opened = versions.select("version_id", F.try_parse_json("payload").alias("__v"))
+    single = opened.select(
+        "version_id", F.lit("class").alias("dimension"), J.get(F.col("__v"), "$.classe.codigo").alias("__code")
     )
-    subjects = opened.select(
+    listed = opened.select(
         "version_id", F.lit("subject").alias("dimension"),
         F.explode(J.get(F.col("__v"), "$.assuntos", "array<variant>")).alias("item"),
-    ).select("version_id", "dimension", C.rule_code(J.get(F.col("item"), "$.codigo")).alias("code"))
-    return classes.unionByName(subjects).where(F.col("code").isNotNull()).distinct()
+    ).select("version_id", "dimension", J.get(F.col("item"), "$.codigo").alias("__code"))
+    both = single.unionByName(listed)
+    codes = both.select("version_id", "dimension", C.rule_code(*C.leaf(F.col("__code"))).alias("code"))
+    return codes.where(F.col("code").isNotNull()).distinct()
 
 
 def discovery_reasons(included: DataFrame, explanations: DataFrame, observed: DataFrame) -> DataFrame:

@@ -193,6 +193,8 @@ class DiscoveryQuery:
         for codes in (self.class_codes, self.subject_codes, self.movement_codes):
             if any(isinstance(code, bool) or not isinstance(code, int) or code <= 0 for code in codes):
                 raise ValueError("codes are positive integers")
+        if self.court_unit_code is not None and self.court_unit_code <= 0:
+            raise ValueError("codes are positive integers")
         if self.process_number is not None and not re.fullmatch("[0-9]{20}", self.process_number):
             raise ValueError("a case number here has exactly 20 digits")
         given = (self.process_number, self.filed_from, self.court_unit_code)

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,13 +11,12 @@ from pyspark.sql import types as T
 from docketflow.functions import codes as C
 from docketflow.functions import dates as D
 from docketflow.functions import jsonvalue as J
+from docketflow.functions.exact import KNOWN_FIELDS, movement_parts
 from docketflow.operators import reconcile as R
+from docketflow.operators.steps import computed_once
 
 NORMALIZER_V1 = "movement-normalizer-v1"
 
-# The fields of a movement that have a meaning of their own.
-KNOWN_FIELDS = ("codigo", "dataHora", "nome", "orgaoJulgador", "complementosTabelados")
-
 _KEYS = ["representation_id", "version_id"]
 
 
@@ -54,12 +51,16 @@ def array_issue(payload: Column) -> Column:
     )
 
 
+def _is_object_text(text: Column) -> Column:
+    return F.coalesce(text.startswith("{"), F.lit(False))
+
+
 def movement_issues(stored_versions: DataFrame, elements: DataFrame) -> DataFrame:
     """Array and element problems with their path and stable code."""
     whole = stored_versions.select(
         *_KEYS, F.lit("movimentos").alias("error_path"), array_issue(F.col("payload")).alias("validation_code")
     ).where(F.col("validation_code").isNotNull())
-    single = elements.where(~J.is_object(F.col("movement"))).select(
+    single = elements.where(~_is_object_text(F.to_json("movement"))).select(
         *_KEYS,
         F.concat(F.lit("movimentos["), F.col("position").cast("string"), F.lit("]")).alias("error_path"),
         F.lit("MOVEMENT_NOT_OBJECT").alias("validation_code"),
@@ -67,47 +68,15 @@ def movement_issues(stored_versions: DataFrame, elements: DataFrame) -> DataFram
     return whole.unionByName(single)
 
 
-def _present(value: Column, text: Column) -> Column:
+def _present(text: Column) -> Column:
     """Missing and null stay apart in the auxiliary key."""
-    return F.when(value.isNull(), F.lit('{"present":false}')).otherwise(
+    return F.when(text.isNull(), F.lit('{"present":false}')).otherwise(
         F.concat(F.lit('{"present":true,"value":'), text, F.lit("}"))
     )
 
 
-def _exact_parts(texts: pd.Series, statuses: pd.Series, normalized: pd.Series, comparable: pd.Series) -> pd.DataFrame:
-    """Content and auxiliary key of movements whose numbers must stay as written."""
-    contents: list[str | None] = []
-    keys: list[str | None] = []
-    for text, status, instant, comparison in zip(texts, statuses, normalized, comparable):
-        if text is None:
-            contents.append(None)
-            keys.append(None)
-            continue
-        movement = json.loads(text)
-        content = {name: movement[name] for name in KNOWN_FIELDS if name in movement}
-        if isinstance(content.get("complementosTabelados"), list):
-            content["complementosTabelados"] = sorted(
-                content["complementosTabelados"], key=lambda item: J.dump_canonical(item).encode()
-            )
-        key = None
-        if movement.get("codigo") is not None and movement.get("dataHora") is not None:
-            fields = {"codigo": movement["codigo"], "dataHora": json.loads(comparison)}
-            for name in ("orgaoJulgador", "complementosTabelados"):
-                has = name in content
-                fields[name] = {"present": True, "value": content[name]} if has else {"present": False}
-            key = J.dump_canonical(fields)
-        if "dataHora" in movement:
-            content["dataHoraStatus"] = status
-            if instant is not None:
-                content["dataHoraNormalizada"] = instant
-        content["camposExtras"] = {k: v for k, v in movement.items() if k not in KNOWN_FIELDS}
-        contents.append(J.dump_canonical(content))
-        keys.append(key)
-    return pd.DataFrame({"content": contents, "auxiliary_key": keys})
-
-
 _exact_normalized = F.pandas_udf(
-    _exact_parts,
+    movement_parts,
     T.StructType([T.StructField("content", T.StringType()), T.StructField("auxiliary_key", T.StringType())]),
 )
 
@@ -119,79 +88,81 @@ def normalize_v1(elements: DataFrame) -> DataFrame:
     takes no part in the auxiliary key.
     """
     movement = F.col("movement")
-    valid = elements.where(J.is_object(movement))
-    moment = J.get(movement, "$.dataHora")
-    text = J.text_at(movement, "$.dataHora")
-    dated = valid.select(
-        *elements.columns,
-        D.status(moment.isNotNull(), J.is_json_null(moment), text).alias("date_status"),
-        D.parse(text, date_only=False).wall.alias("date_wall"),
-        D.parse(text, date_only=False).instant.alias("date_instant"),
-        J.get(movement, "$.codigo").alias("__code"),
-        moment.alias("__moment"),
-        J.get(movement, "$.nome").alias("__name"),
-        J.get(movement, "$.orgaoJulgador").alias("__unit"),
-        J.get(movement, "$.complementosTabelados").alias("__complements"),
+    kept = [name for name in elements.columns if name not in ("movement", "exact_text")]
+    written = computed_once(elements.withColumn("__raw", F.to_json("movement"))).where(_is_object_text(F.col("__raw")))
+    opened = written.select(
+        *kept, "__raw", "exact_text",
+        *[J.get(movement, f"$.{field}").alias(f"__{field}") for field in KNOWN_FIELDS],
         F.map_filter(
             J.get(movement, "$", "map<string,variant>"), lambda key, _: ~key.isin(*KNOWN_FIELDS)
         ).alias("__extras"),
     )
-    listed = J.get(F.col("__complements"), "$", "array<variant>")
+    # One text per field; NULL for a missing one.
+    read = opened.select(
+        *kept, "__raw", "exact_text",
+        *[F.to_json(f"__{field}").alias(f"__j_{field}") for field in KNOWN_FIELDS if field != "complementosTabelados"],
+        F.schema_of_variant("__codigo").alias("__code_schema"), J.get(F.col("__codigo"), "$", "string").alias("__code_text"),
+        F.schema_of_variant("__dataHora").alias("__date_schema"), J.get(F.col("__dataHora"), "$", "string").alias("__date_text"),
+        J.get(F.col("__complementosTabelados"), "$", "array<variant>").alias("__list"),
+        F.to_json("__complementosTabelados").alias("__complement_json"),
+        F.coalesce(F.when(F.size("__extras") > 0, F.to_json(F.to_variant_object("__extras"))), F.lit("{}")).alias("__extra_json"),
+    )
     sorted_list = F.concat(
-        F.lit("["), F.array_join(F.array_sort(F.transform(listed, lambda item: F.to_json(item))), ","), F.lit("]")
+        F.lit("["), F.array_join(F.array_sort(F.transform("__list", lambda item: F.to_json(item))), ","), F.lit("]")
     )
-    instant_text = F.when(F.col("date_status") == "timezone_aware",
-                          F.concat(D.iso_micros(F.col("date_instant")), F.lit("Z")))
-    normalized = F.coalesce(instant_text, D.iso_micros(F.col("date_wall")))
-    texts = dated.select(
-        *elements.columns, "date_status", "date_instant", "__code", "__moment", "__unit", "__complements", "__extras",
-        "__name",
-        F.coalesce(sorted_list, F.to_json("__complements")).alias("__complement_text"),
-        normalized.alias("__normalized"),
-        F.coalesce(J.quoted(instant_text), F.to_json("__moment")).alias("__comparable"),
+    plain = read.withColumn(
+        "__plain", D.readable(F.when(F.col("__date_schema") == "STRING", F.col("__date_text")), date_only=False)
     )
-    moment_present = F.col("__moment").isNotNull()
-    extras = F.coalesce(
-        F.when(F.size("__extras") > 0, F.to_json(F.to_variant_object("__extras"))), F.lit("{}")
+    date = D.parsed(F.col("__plain"))
+    dated = plain.select(
+        *kept, "__raw", "exact_text", "__j_codigo", "__j_dataHora", "__j_nome", "__j_orgaoJulgador", "__extra_json",
+        "__code_schema", "__code_text", "__date_schema",
+        F.coalesce(sorted_list, "__complement_json").alias("__complements"),
+        date.wall.alias("__wall"), date.instant.alias("date_instant"), date.aware.alias("__aware"),
     )
-    native_content = J.json_object(
-        ("camposExtras", extras),
-        ("codigo", F.to_json("__code")),
-        ("complementosTabelados", F.when(F.col("__complements").isNotNull(), F.col("__complement_text"))),
-        ("dataHora", F.to_json("__moment")),
-        ("dataHoraNormalizada", J.quoted(F.when(moment_present, F.col("__normalized")))),
-        ("dataHoraStatus", J.quoted(F.when(moment_present, F.col("date_status")))),
-        ("nome", F.to_json("__name")),
-        ("orgaoJulgador", F.to_json("__unit")),
+    instant_text = F.when(F.col("__aware"), F.concat(D.iso_micros(F.col("date_instant")), F.lit("Z")))
+    texts = dated.select(
+        *kept, "__raw", "exact_text", "__j_codigo", "__j_dataHora", "__j_nome", "__j_orgaoJulgador", "__extra_json",
+        "__complements", "date_instant",
+        D.status(F.col("__date_schema"), F.col("__wall"), F.col("__aware")).alias("date_status"),
+        C.rule_code(F.col("__code_schema"), F.col("__code_text")).alias("code"),
+        ((F.col("__code_schema") != "VOID") & (F.col("__date_schema") != "VOID")).alias("__keyed"),
+        F.coalesce(instant_text, D.iso_micros(F.col("__wall"))).alias("__normalized"),
+        F.coalesce(F.concat(F.lit('"'), instant_text, F.lit('"')), "__j_dataHora").alias("__comparable"),
     )
-    keyed = (
-        F.col("__code").isNotNull() & ~J.is_json_null(F.col("__code"))
-        & moment_present & ~J.is_json_null(F.col("__moment"))
+    native_content = J.json_object(
+        ("camposExtras", F.col("__extra_json")),
+        ("codigo", F.col("__j_codigo")),
+        ("complementosTabelados", F.col("__complements")),
+        ("dataHora", F.col("__j_dataHora")),
+        # These texts hold nothing that needs an escape.
+        ("dataHoraNormalizada", F.concat(F.lit('"'), "__normalized", F.lit('"'))),
+        ("dataHoraStatus", F.when(F.col("__j_dataHora").isNotNull(), F.concat(F.lit('"'), "date_status", F.lit('"')))),
+        ("nome", F.col("__j_nome")),
+        ("orgaoJulgador", F.col("__j_orgaoJulgador")),
     )
     native_key = F.when(
-        keyed,
+        F.col("__keyed"),
         J.json_object(
-            ("codigo", F.to_json("__code")),
-            ("complementosTabelados", _present(F.col("__complements"), F.col("__complement_text"))),
+            ("codigo", F.col("__j_codigo")),
+            ("complementosTabelados", _present(F.col("__complements"))),
             ("dataHora", F.col("__comparable")),
-            ("orgaoJulgador", _present(F.col("__unit"), F.to_json("__unit"))),
+            ("orgaoJulgador", _present(F.col("__j_orgaoJulgador"))),
         ),
     )
-    exact = _exact_normalized("exact_text", "date_status", "__normalized", "__comparable")
     both = texts.select(
-        *elements.columns, "date_status", "date_instant", "__code",
-        native_content.alias("__content"), native_key.alias("__key"), exact.alias("__exact"),
+        *kept, "exact_text", "date_status", "date_instant", "code", "__raw",
+        native_content.alias("__content"), native_key.alias("__key"),
+        _exact_normalized("exact_text", "date_status", "__normalized", "__comparable").alias("__exact"),
     )
     is_exact = F.col("exact_text").isNotNull()
-    return both.select(
-        *[name for name in elements.columns if name != "exact_text"],
-        "date_status",
-        "date_instant",
-        C.rule_code(F.col("__code")).alias("code"),
+    out = both.select(
+        *kept, "date_status", "date_instant", "code",
         F.when(is_exact, F.col("__exact.content")).otherwise(F.col("__content")).alias("content"),
         F.when(is_exact, F.col("__exact.auxiliary_key")).otherwise(F.col("__key")).alias("auxiliary_key"),
-        F.coalesce("exact_text", F.to_json("movement")).alias("raw"),
+        F.coalesce("exact_text", "__raw").alias("raw"),
     ).withColumn("content_sha256", J.content_hash(F.col("content")))
+    return computed_once(out)
 
 
 #: Normalizers by version. A correction gets a new version; a version is never changed in place.

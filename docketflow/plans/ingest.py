@@ -15,6 +15,7 @@ from docketflow.functions import codes as C
 from docketflow.functions import dates as D
 from docketflow.functions import jsonvalue as J
 from docketflow.operators import ordered as O
+from docketflow.operators.steps import computed_once
 from docketflow.sources.reference import canonical_tribunal
 
 COVER_NORMALIZER = "cover-normalizer-v1"
@@ -37,11 +38,38 @@ def source_name(mode: Column) -> Column:
     return F.when(mode == "demo", "synthetic").otherwise("registry")
 
 
-def _original(value: Column) -> Column:
+#: Leaves of a cover that are read, by name and path.
+_LEAVES = {
+    "id": "$.id",
+    "number": "$.numeroProcesso",
+    "tribunal": "$.tribunal",
+    "class_code": "$.classe.codigo",
+    "class_name": "$.classe.nome",
+    "grau": "$.grau",
+    "unit_code": "$.orgaoJulgador.codigo",
+    "unit_name": "$.orgaoJulgador.nome",
+    "filed": "$.dataAjuizamento",
+    "updated": '$["@timestamp"]',
+}
+
+
+_NAMES = ["hit_id", *_LEAVES]
+
+
+def _leaf(name: str) -> tuple[Column, Column]:
+    leaf = F.col("__leaves")[_NAMES.index(name)]
+    return leaf["schema"], leaf["text"]
+
+
+def _string(name: str) -> Column:
+    schema, text = _leaf(name)
+    return F.when(schema == "STRING", text)
+
+
+def _original(name: str) -> Column:
     """A source date as it came: text as it is, other values as JSON, null and missing as NULL."""
-    return F.when(J.is_text(value), J.get(value, "$", "string")).when(
-        ~J.is_json_null(value), F.to_json(value)
-    )
+    schema, text = _leaf(name)
+    return F.when(schema == "STRING", text).when(schema != "VOID", F.to_json(F.col(f"__v_{name}")))
 
 
 def prepare_hits(hits: DataFrame) -> DataFrame:
@@ -49,79 +77,89 @@ def prepare_hits(hits: DataFrame) -> DataFrame:
 
     ``hits`` has the page columns plus page_key, hit_ordinal and the hit's text. Adds the first
     failing check as (error_path, validation_code), both NULL for a valid hit.
+
+    The work is laid out in steps that each read columns of the step before. A value that is used
+    several times is thereby computed once, and the generated code stays small.
     """
-    parsed = hits.withColumn("__hit", F.try_parse_json("hit"))
-    hit = F.col("__hit")
-    opened = parsed.withColumn("__source", J.get(hit, "$._source"))
+    kept = hits.columns
+    parsed = hits.select(*kept, F.try_parse_json("hit").alias("__hit"), J.needs_exact(F.col("hit")).alias("__odd"))
+    opened = parsed.select(*kept, "__odd", "__hit", J.get(F.col("__hit"), "$._source").alias("__source"))
     source = F.col("__source")
-    hit_id, source_id = J.text_at(hit, "$._id"), J.text_at(source, "$.id")
-    number = J.text_at(source, "$.numeroProcesso")
-    expected = canonical_tribunal(F.col("tribunal"))
+    values = [J.get(F.col("__hit"), "$._id"), *[J.get(source, path) for path in _LEAVES.values()]]
+    # One loop over an array instead of one expression per leaf.
+    typed = opened.select(
+        *kept, "__odd",
+        F.to_json(source).alias("__json"),
+        canonical_tribunal(F.col("tribunal")).alias("__expected"),
+        J.get(source, _LEAVES["filed"]).alias("__v_filed"), J.get(source, _LEAVES["updated"]).alias("__v_updated"),
+        F.transform(
+            F.array(*values),
+            lambda v: F.struct(F.schema_of_variant(v).alias("schema"), J.get(v, "$", "string").alias("text")),
+        ).alias("__leaves"),
+    )
+    texts = typed.select("*", *[_string(name).alias(f"__x_{name}") for name in ("id", "hit_id", "number", "tribunal")])
     blank = r"(?U)^[\s\x1c-\x1f]*$"
 
     def failed(check: Column) -> Column:
         return F.coalesce(check, F.lit(True))
 
     checks = [
-        (failed(~J.is_object(source)), "_source", "COVER_NOT_OBJECT"),
-        (failed(source_id.rlike(blank)), "_source.id", "SOURCE_ID_INVALID"),
-        (failed(hit_id.rlike(blank)), "_id", "HIT_SOURCE_ID_INVALID"),
-        (failed(source_id != hit_id), "_source.id", "SOURCE_ID_MISMATCH"),
-        (failed(~number.rlike("^[0-9]{20}$")), "_source.numeroProcesso", "CNJ_INVALID"),
-        (failed(J.text_at(source, "$.tribunal") != expected), "_source.tribunal", "TRIBUNAL_INVALID"),
+        (failed(~F.col("__json").startswith("{")), "_source", "COVER_NOT_OBJECT"),
+        (failed(F.col("__x_id").rlike(blank)), "_source.id", "SOURCE_ID_INVALID"),
+        (failed(F.col("__x_hit_id").rlike(blank)), "_id", "HIT_SOURCE_ID_INVALID"),
+        (failed(F.col("__x_id") != F.col("__x_hit_id")), "_source.id", "SOURCE_ID_MISMATCH"),
+        (failed(~F.col("__x_number").rlike("^[0-9]{20}$")), "_source.numeroProcesso", "CNJ_INVALID"),
+        (failed(F.col("__x_tribunal") != F.col("__expected")), "_source.tribunal", "TRIBUNAL_INVALID"),
     ]
-    issue = F.coalesce(
-        *[
-            F.when(check, F.struct(F.lit(path).alias("error_path"), F.lit(code).alias("validation_code")))
-            for check, path, code in checks
-        ]
-    )
-    filed_text, updated_text = _original(J.get(source, "$.dataAjuizamento")), _original(
-        J.get(source, '$["@timestamp"]')
-    )
+    failing = F.lit(None).cast("int")
+    for index in reversed(range(len(checks))):
+        failing = F.when(checks[index][0], F.lit(index)).otherwise(failing)
     # The text of a part keeps its numbers as written; it is cut out only where that matters.
     exact_source = F.from_json(F.col("hit"), "_source STRING")["_source"]
-    source_text = F.when(J.needs_exact(F.col("hit")), exact_source).otherwise(F.to_json(source))
-    staged = opened.select(
-        *hits.columns,
-        "__source",
-        issue.alias("__issue"),
+    staged = texts.select(
+        *kept,
+        failing.alias("__failing"),
         source_name(F.col("mode")).alias("source"),
         F.col("responded_at").alias("observed_at"),
-        source_id.alias("source_id"),
-        number.alias("process_number"),
-        source_text.alias("__source_text"),
-        filed_text.alias("filed_original"),
-        updated_text.alias("updated_original"),
+        F.col("__x_id").alias("source_id"),
+        F.col("__x_number").alias("process_number"),
+        F.when(F.col("__odd"), exact_source).alias("__exact"),
+        F.when(~F.col("__odd"), F.col("__json")).alias("__native"),
+        C.cover_code(*_leaf("class_code")).alias("class_code"),
+        C.cover_text(*_leaf("class_name")).alias("class_name"),
+        C.cover_text(*_leaf("grau")).alias("grau"),
+        C.cover_code(*_leaf("unit_code")).alias("court_unit_code"),
+        C.cover_text(*_leaf("unit_name")).alias("court_unit_name"),
+        _original("filed").alias("filed_original"),
+        _original("updated").alias("updated_original"),
     )
-    filed, updated = D.parse(F.col("filed_original")), D.parse(F.col("updated_original"))
-    payload = J.canonical_json(F.col("__source_text"))
-    source = F.col("__source")
-    out = staged.select(
-        *hits.columns,
-        "source",
-        "observed_at",
-        "source_id",
-        "process_number",
-        F.col("__issue.error_path").alias("error_path"),
-        F.col("__issue.validation_code").alias("validation_code"),
+    dated = staged.select(
+        "*",
+        D.readable(F.col("filed_original")).alias("__filed"), D.readable(F.col("updated_original")).alias("__updated"),
+        J.rewrite(F.col("__native"), F.col("__exact")).alias("payload"),
+    )
+    filed, updated = D.parsed(F.col("__filed")), D.parsed(F.col("__updated"))
+    hashed = dated.select(
+        "*",
+        filed.wall.alias("__filed_wall"), filed.aware.alias("__filed_aware"), filed.instant.alias("filed_at"),
+        updated.wall.alias("__updated_wall"), updated.aware.alias("__updated_aware"), updated.instant.alias("updated_at"),
+        J.content_hash(F.col("payload")).alias("payload_sha256"),
         _identifier(F.col("source"), F.col("tribunal"), F.col("source_id")).alias("representation_id"),
-        payload.alias("payload"),
-        C.cover_code(J.get(source, "$.classe.codigo")).alias("class_code"),
-        C.cover_text(J.get(source, "$.classe.nome")).alias("class_name"),
-        C.cover_text(J.get(source, "$.grau")).alias("grau"),
-        C.cover_code(J.get(source, "$.orgaoJulgador.codigo")).alias("court_unit_code"),
-        C.cover_text(J.get(source, "$.orgaoJulgador.nome")).alias("court_unit_name"),
-        "filed_original",
-        filed.instant.alias("filed_at"),
-        F.coalesce(filed.wall.isNotNull() & ~filed.aware, F.lit(False)).alias("filed_ambiguous"),
-        "updated_original",
-        updated.instant.alias("updated_at"),
-        F.coalesce(updated.wall.isNotNull() & ~updated.aware, F.lit(False)).alias("updated_ambiguous"),
     )
-    return out.withColumn("payload_sha256", J.content_hash(F.col("payload"))).withColumn(
-        "version_id", _identifier(F.col("representation_id"), F.col("payload_sha256"))
+    paths = F.array(*[F.lit(path) for _, path, _ in checks])
+    codes = F.array(*[F.lit(code) for _, _, code in checks])
+    out = hashed.select(
+        *kept, "source", "observed_at", "source_id", "process_number",
+        F.get(paths, "__failing").alias("error_path"), F.get(codes, "__failing").alias("validation_code"),
+        "representation_id", "payload", "class_code", "class_name", "grau", "court_unit_code", "court_unit_name",
+        "filed_original", "filed_at",
+        (F.col("__filed_wall").isNotNull() & ~F.col("__filed_aware")).alias("filed_ambiguous"),
+        "updated_original", "updated_at",
+        (F.col("__updated_wall").isNotNull() & ~F.col("__updated_aware")).alias("updated_ambiguous"),
+        "payload_sha256",
+        _identifier(F.col("representation_id"), F.col("payload_sha256")).alias("version_id"),
     )
+    return computed_once(out)
 
 
 def valid_hits(prepared: DataFrame) -> DataFrame:
@@ -196,15 +234,19 @@ def representations(observed: DataFrame, stored_versions: DataFrame) -> DataFram
 def subjects(stored_versions: DataFrame) -> DataFrame:
     """Subjects of each version, numbered after the empty ones are left out."""
     items = J.get(F.try_parse_json("payload"), "$.assuntos", "array<variant>")
+    opened = stored_versions.select("version_id", "representation_id", items.alias("items"))
+    leaves = F.transform(
+        "items",
+        lambda item: F.struct(J.get(item, "$.codigo").alias("code"), J.get(item, "$.nome").alias("name")),
+    )
     pairs = F.transform(
-        items,
-        lambda item: F.struct(
-            C.cover_code(J.get(item, "$.codigo")).alias("subject_code"),
-            C.cover_text(J.get(item, "$.nome")).alias("subject_name"),
+        leaves,
+        lambda p: F.struct(
+            C.cover_code(*C.leaf(p["code"])).alias("subject_code"), C.cover_text(*C.leaf(p["name"])).alias("subject_name")
         ),
     )
     kept = F.filter(pairs, lambda p: p["subject_code"].isNotNull() | p["subject_name"].isNotNull())
-    return stored_versions.select("version_id", "representation_id", F.posexplode(kept).alias("pos", "s")).select(
+    return opened.select("version_id", "representation_id", F.posexplode(kept).alias("pos", "s")).select(
         "version_id", "representation_id", (F.col("pos") + 1).alias("ordinal"), "s.subject_code", "s.subject_name"
     )
 
@@ -214,7 +256,7 @@ def collection_results(observed: DataFrame) -> DataFrame:
     first = O.earliest(
         observed.select("collection_id", "representation_id", "page_revision", "hit_ordinal",
                         "observed_at", "capture_outcome", "version_id"),
-        ["collection_id", "representation_id"], ["page_revision", "hit_ordinal"],
+        ["collection_id", "representation_id"], ["page_revision", "hit_ordinal", "observed_at"],
     )
     return first.withColumnRenamed("observed_at", "included_at")
 

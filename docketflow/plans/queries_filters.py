@@ -173,7 +173,7 @@ def discovery_or(spark, sf_dir):
     return discover(_records(spark, sf_dir), wanted).select("record_id")
 
 
-@query("discovery_court_unit", _RECORDS + "tribunal = 'TJMA' AND l_suppkey BETWEEN 3 AND 3")
+@query("discovery_court_unit", _RECORDS + "tribunal = 'TJMS' AND l_suppkey = 4")
 def discovery_court_unit(spark, sf_dir):
     """One court unit of one tribunal."""
-    return discover(_records(spark, sf_dir), DiscoveryQuery("TJMA", court_unit_code=3)).select("record_id")
+    return discover(_records(spark, sf_dir), DiscoveryQuery("TJMS", court_unit_code=4)).select("record_id")

@@ -13,8 +13,25 @@ from docketflow.operators.filters import CaseTables
 from docketflow.sources.reference import TRIBUNALS, rules_frame
 
 
+# Schemas of the given tables, so that no job is spent on reading footers first.
+SCHEMAS = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def tribunal_of(nation: Column) -> Column:
@@ -190,20 +207,39 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.unionByName(shipped).join(known, "collection_id", "left_semi")
 
 
+class StandInTables(CaseTables):
+    """The case tables, each one built when a read first asks for it."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        object.__setattr__(self, "_place", (spark, sf_dir))
+
+    def __getattribute__(self, name: str):
+        makers = _MAKERS
+        if name not in makers:
+            return object.__getattribute__(self, name)
+        built = object.__getattribute__(self, "__dict__")
+        if name not in built:
+            built[name] = makers[name](*built["_place"])
+        return built[name]
+
+
+_MAKERS = {
+    "processes": processes,
+    "representations": representations,
+    "subjects": subjects,
+    "triage": triage,
+    "watchlist": watchlist,
+    "news": news,
+    "signals": signals,
+    "results": results,
+    "collections": collections,
+    "runs": runs,
+    "rules": lambda spark, sf_dir: rules_frame(spark),
+}
+
+
 def case_tables(spark: SparkSession, sf_dir: str) -> CaseTables:
-    return CaseTables(
-        processes=processes(spark, sf_dir),
-        representations=representations(spark, sf_dir),
-        subjects=subjects(spark, sf_dir),
-        triage=triage(spark, sf_dir),
-        watchlist=watchlist(spark, sf_dir),
-        news=news(spark, sf_dir),
-        signals=signals(spark, sf_dir),
-        results=results(spark, sf_dir),
-        collections=collections(spark, sf_dir),
-        runs=runs(spark, sf_dir),
-        rules=rules_frame(spark),
-    )
+    return StandInTables(spark, sf_dir)
 
 
 def line_hits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docketflow.functions import jsonvalue as J
+from docketflow.operators.steps import computed_once
 
 #: Columns that come with a page, apart from its text.
 PAGE_COLUMNS = ["collection_id", "page_revision", "responded_at", "tribunal", "mode"]
@@ -67,7 +68,7 @@ def with_envelope(pages: DataFrame, payload: str = "payload") -> DataFrame:
         .otherwise(total_error)
     )
     value, relation = total_parts(total)
-    return read.select(
+    out = read.select(
         *pages.columns,
         hits.alias("hit_texts"),
         value.alias("total_value"),
@@ -75,14 +76,14 @@ def with_envelope(pages: DataFrame, payload: str = "payload") -> DataFrame:
         total_kind(value, relation).alias("total_kind"),
         error.alias("page_error"),
     )
+    return computed_once(out)
 
 
 def _sound_hit(hit: Column) -> Column:
     """An object with a non-empty list of scalar sort values."""
-    value = F.try_parse_json(hit)
-    sort = J.get(value, "$.sort", "array<variant>")
-    scalar = F.forall(sort, lambda item: ~J.is_object(item) & J.get(item, "$", "array<variant>").isNull())
-    return F.coalesce(J.is_object(value) & (F.size(sort) > 0) & scalar, F.lit(False))
+    sort = J.get(F.try_parse_json(hit), "$.sort", "array<variant>")
+    scalar = F.forall(sort, lambda item: ~F.to_json(item).rlike(r"^[\[{]"))
+    return F.coalesce(hit.startswith("{") & (F.size(sort) > 0) & scalar, F.lit(False))
 
 
 def _total_error(text: Column, total: Column) -> Column:

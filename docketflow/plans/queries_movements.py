@@ -11,6 +11,7 @@ from docketflow.operators import signals as S
 from docketflow.plans import ingest, standins
 from docketflow.plans.registry import query
 from docketflow.plans.sqlparts import HITS
+from docketflow.session import stored as written
 from docketflow.sources import reference
 
 _WITH = f"WITH {HITS}"
@@ -26,7 +27,8 @@ def _valid(spark, sf_dir):
 
 
 def _stored(spark, sf_dir):
-    return ingest.versions(_valid(spark, sf_dir))
+    """Versions as a written table, since snapshots and movements both read them."""
+    return written(ingest.versions(_valid(spark, sf_dir)))
 
 
 def _contents(spark, sf_dir):
@@ -88,7 +90,7 @@ JOIN grp g ON g.representation_id = o.representation_id AND g.auxiliary_key = o.
 (SELECT 1) x(one)""".replace("occ.ordinal = any_first AND ", "").replace(",\n(SELECT 1) x(one)", ""))
 def movement_statuses(spark, sf_dir):
     """Known, first observed or altered, for everything each snapshot holds."""
-    contents = _contents(spark, sf_dir)
+    contents = written(_contents(spark, sf_dir))
     present = M.present_associations(contents, M.occurrences(contents)).select(
         "version_id", "content_sha256", "first_ordinal", "last_ordinal", "status"
     )
@@ -126,7 +128,7 @@ SELECT a.representation_id, a.auxiliary_key, a.version_id,
 FROM altered a""")
 def alteration_counts(spark, sf_dir):
     """How many earlier and current occurrences stand behind each observed alteration."""
-    contents = _contents(spark, sf_dir)
+    contents = written(_contents(spark, sf_dir))
     occurrences = M.occurrences(contents)
     present = M.present_associations(contents, occurrences)
     counts = M.alteration_counts(contents, occurrences, present)
@@ -231,15 +233,17 @@ def alteration_statuses(spark, sf_dir):
 
 
 def _manifest(spark, sf_dir):
-    valid = _valid(spark, sf_dir)
+    # The facts are written once; snapshots, movements and the projection all read them.
+    valid = written(_valid(spark, sf_dir))
     stored = ingest.versions(valid)
     elements = M.explode_movements(stored)
     snapshots = M.snapshots(stored, M.movement_issues(stored, elements))
     current = ingest.representations(valid.select(*ingest.POSITION, "page_revision", "representation_id", "version_id", "observed_at"), stored)
     manifest = S.input_manifest(current.withColumnRenamed("process_number", "process_id"), snapshots)
     contents = M.snapshot_contents(M.normalize(elements))
+    manifest = written(manifest)
     ranges = contents.select("version_id", "content_sha256", "code", F.lit(1).alias("first_ordinal"), F.col("copies").alias("last_ordinal"))
-    movements = R.expand_ranges(ranges).select(
+    movements = written(R.expand_ranges(ranges)).select(
         "version_id", "code", F.concat_ws(":", "content_sha256", F.col("ordinal").cast("string")).alias("occurrence_id")
     )
     return manifest, movements

@@ -13,6 +13,7 @@ from docketflow.operators import watch as W
 from docketflow.plans import ingest, standins
 from docketflow.plans.registry import query
 from docketflow.plans.sqlparts import HITS, TRIBUNAL_LIST
+from docketflow.session import stored as written
 from docketflow.sources import reference
 
 _TOGGLES = """WITH log AS (SELECT user_id, event_id, ts, event_type = 'signup' AS wanted FROM events WHERE event_type IN ('signup', 'error')),
@@ -69,7 +70,7 @@ base AS (SELECT * FROM est QUALIFY row_number() OVER (PARTITION BY representatio
 
 
 def _watch_inputs(spark, sf_dir):
-    valid = ingest.valid_hits(ingest.prepare_hits(standins.line_hits(spark, sf_dir)))
+    valid = written(ingest.valid_hits(ingest.prepare_hits(standins.line_hits(spark, sf_dir))))
     stored = ingest.versions(valid)
     elements = M.explode_movements(stored)
     snapshots = M.snapshots(stored, M.movement_issues(stored, elements))
@@ -125,7 +126,7 @@ def news_movements(spark, sf_dir):
     from docketflow.operators import reconcile as R
 
     stored, elements, snapshots, observations, cycles = _watch_inputs(spark, sf_dir)
-    contents = M.snapshot_contents(M.normalize(elements))
+    contents = written(M.snapshot_contents(M.normalize(elements)))
     present = M.present_associations(contents, M.occurrences(contents))
     base = W.baselines(observations, snapshots, cycles)
     news = W.movement_news(observations, snapshots, cycles, base, present, M.NORMALIZER_V1)

@@ -1 +1,47 @@
+"""Streaming jobs over files that Spark derives from the given tables."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from docketflow.plans import standins
+from docketflow.plans.registry import query
+from docketflow.session import ensure_checkpoint_dir
+from docketflow.streaming import page_stream, stateful
+
+
+def _folder(spark) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+
+@query("page_stream_ingest", """SELECT sha256('{"collection_id":"events","previous_checkpoint_revision":' || (event_id // 100) || '}') AS page_key,
+  (event_id % 100 + 1)::INT AS hit_ordinal, md5('synthetic' || chr(1) || 'TJGO' || chr(1) || 'u' || user_id) AS representation_id,
+  sha256('{"id":"u' || user_id || '","movimentos":[{"codigo":' || json_extract(props, '$.k') || '}],"numeroProcesso":"' || lpad(user_id::VARCHAR, 20, '0')
+    || '","tipo":"' || event_type || '","tribunal":"TJGO"}') AS payload_sha256 FROM events""")
+def page_stream_ingest(spark, sf_dir):
+    """All pages through the stream in several batches, then all of them again as a replay."""
+    folder = _folder(spark)
+    standins.event_pages(spark, sf_dir).repartition(4, "page_revision").write.parquet(f"{folder}/pages")
+    store = page_stream.FactStore(f"{folder}/facts")
+    page_stream.start(spark, f"{folder}/pages", store, f"{folder}/first", files_per_batch=2).awaitTermination()
+    page_stream.start(spark, f"{folder}/pages", store, f"{folder}/replay", files_per_batch=3).awaitTermination()
+    return page_stream.observations(spark, store).select("page_key", "hit_ordinal", "representation_id", "payload_sha256")
+
+
+@query("stateful_diff", """WITH daily AS (SELECT user_id, event_type, date_trunc('day', ts) AS d, count(*) AS n FROM events GROUP BY 1, 2, 3)
+SELECT user_id::VARCHAR AS representation_id, event_type AS content_sha256, max(n) AS ordinals FROM daily GROUP BY 1, 2""")
+def stateful_diff(spark, sf_dir):
+    """Daily snapshots of each user's events as a multiset, reconciled by streaming state."""
+    folder = _folder(spark)
+    daily = standins.read(spark, sf_dir, "events").groupBy(
+        F.col("user_id").cast("string").alias("representation_id"), F.col("event_type").alias("content_sha256"), F.date_trunc("day", "ts").alias("day")
+    ).agg(F.count(F.lit(1)).alias("copies"))
+    contents = daily.drop("day")
+    contents.repartition(3, "copies").write.parquet(f"{folder}/contents")
+    stateful.run(spark, f"{folder}/contents", contents.schema, f"{folder}/ranges", f"{folder}/state", files_per_batch=1)
+    ranges = spark.read.schema(stateful.RANGE_SCHEMA).parquet(f"{folder}/ranges")
+    return ranges.groupBy("representation_id", "content_sha256").agg(
+        F.sum(F.col("last_ordinal") - F.col("first_ordinal") + 1).alias("ordinals")
+    )

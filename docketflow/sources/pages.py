@@ -154,5 +154,5 @@ def explode_hits(enveloped: DataFrame) -> DataFrame:
 
 
 def scan_pages(pages: DataFrame) -> DataFrame:
-    """Hits of all sound pages. Full pages are spread out again, since one page is one row."""
+    """Hits of all sound pages."""
     return explode_hits(with_envelope(pages))

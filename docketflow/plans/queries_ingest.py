@@ -14,6 +14,7 @@ from docketflow.operators import reconcile as R
 from docketflow.plans import ingest, standins
 from docketflow.plans.registry import query
 from docketflow.plans.sqlparts import HITS
+from docketflow.session import stored
 from docketflow.sources import pages as P
 from docketflow.sources import tables as T
 
@@ -24,6 +25,11 @@ def _prepared(spark, sf_dir):
     return ingest.prepare_hits(standins.line_hits(spark, sf_dir))
 
 
+def _facts(spark, sf_dir):
+    """Valid hits as a written table, for plans that read them more than once."""
+    return stored(ingest.valid_hits(_prepared(spark, sf_dir)))
+
+
 def _day(column):
     return F.date_format(column, "yyyy-MM-dd")
 
@@ -98,15 +104,15 @@ def cover_quarantine(spark, sf_dir):
 UNION ALL SELECT version_id, 2, NULL, flag FROM versions""")
 def cover_subjects(spark, sf_dir):
     """Subjects of every version, numbered without the empty ones."""
-    stored = ingest.versions(ingest.valid_hits(_prepared(spark, sf_dir)))
-    return ingest.subjects(stored).select("version_id", "ordinal", "subject_code", "subject_name")
+    kept = ingest.versions(ingest.valid_hits(_prepared(spark, sf_dir)))
+    return ingest.subjects(kept).select("version_id", "ordinal", "subject_code", "subject_name")
 
 
 @query("payload_versions", f"""{_WITH} SELECT representation_id, version_id, payload_sha256, strftime(first_at, '%Y-%m-%d') AS first_day FROM versions""")
 def payload_versions(spark, sf_dir):
     """Content-addressed versions with their first observation."""
-    stored = ingest.versions(ingest.valid_hits(_prepared(spark, sf_dir)))
-    return stored.select("representation_id", "version_id", "payload_sha256", _day("first_observed_at").alias("first_day"))
+    kept = ingest.versions(ingest.valid_hits(_prepared(spark, sf_dir)))
+    return kept.select("representation_id", "version_id", "payload_sha256", _day("first_observed_at").alias("first_day"))
 
 
 _OBSERVED = f"""{_WITH}, observed AS (
@@ -120,7 +126,7 @@ _OBSERVED = f"""{_WITH}, observed AS (
 SELECT collection_id, page_key, l_linenumber AS hit_ordinal, representation_id, capture_outcome, filed_regressed FROM observed""")
 def capture_outcomes(spark, sf_dir):
     """New, updated or unchanged for every observation, and filing dates that went back."""
-    seen = ingest.observations(ingest.valid_hits(_prepared(spark, sf_dir)))
+    seen = ingest.observations(_facts(spark, sf_dir))
     return seen.select(*ingest.POSITION, "representation_id", "capture_outcome", "filed_regressed")
 
 
@@ -147,7 +153,7 @@ def date_regression(spark, sf_dir):
 QUALIFY row_number() OVER (PARTITION BY representation_id ORDER BY l_shipdate DESC, collection_id DESC, l_partkey DESC, l_linenumber DESC) = 1""")
 def latest_projection(spark, sf_dir):
     """The current state of every representation."""
-    valid = ingest.valid_hits(_prepared(spark, sf_dir))
+    valid = _facts(spark, sf_dir)
     out = ingest.representations(ingest.observations(valid), ingest.versions(valid))
     return out.select("representation_id", "latest_version_id", "class_code", _day("last_observed_at").alias("last_day"))
 
@@ -157,7 +163,7 @@ SELECT collection_id, representation_id, capture_outcome, strftime(l_shipdate, '
 QUALIFY row_number() OVER (PARTITION BY collection_id, representation_id ORDER BY l_partkey, l_linenumber, l_shipdate) = 1""")
 def collection_inclusions(spark, sf_dir):
     """The first inclusion of each representation in each collection."""
-    seen = ingest.observations(ingest.valid_hits(_prepared(spark, sf_dir)))
+    seen = ingest.observations(_facts(spark, sf_dir))
     return ingest.collection_results(seen).select(
         "collection_id", "representation_id", "capture_outcome", _day("included_at").alias("included_day")
     )

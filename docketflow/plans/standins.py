@@ -34,6 +34,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores when the table is a small file that would be one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def tribunal_of(nation: Column) -> Column:
     """One tribunal per nation key."""
     return F.element_at(F.array(*[F.lit(name) for name in TRIBUNALS]), nation + 1)
@@ -248,7 +254,7 @@ def line_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     A representation is (order, line number), so repeated pairs become its versions. Which defect
     a hit has follows from its tax, discount and quantity.
     """
-    line = read(spark, sf_dir, "lineitem").withColumns(
+    line = spread(read(spark, sf_dir, "lineitem")).withColumns(
         {
             "t": F.round(F.col("l_tax") * 100).cast("int"),
             "d": F.round(F.col("l_discount") * 100).cast("int"),

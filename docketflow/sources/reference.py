@@ -222,19 +222,13 @@ def read_theme_catalog(spark: SparkSession, path: str) -> ThemeCatalog:
     codes = document.select(F.inline("tpu_code_evidence"))
     items = document.select("catalog_version", "tpu_version", F.inline("items"))
     families = document.select(F.inline("families"))
+    def coded(dimension: str, field: str) -> Column:
+        listed = F.coalesce(F.col(f"filters.{field}"), F.array().cast("array<bigint>"))
+        return F.transform(listed, lambda code: F.struct(F.lit(dimension).alias("dimension"), code.alias("code")))
+
     links = items.select(
         F.col("id").alias("item_id"),
-        F.explode(
-            F.concat(
-                *[
-                    F.transform(
-                        F.coalesce(F.col(f"filters.{field}"), F.array().cast("array<bigint>")),
-                        lambda code, d=dimension: F.struct(F.lit(d).alias("dimension"), code.alias("code")),
-                    )
-                    for dimension, field in (("class", "classes"), ("subject", "subjects"), ("movement", "movements"))
-                ]
-            )
-        ).alias("link"),
+        F.explode(F.concat(coded("class", "classes"), coded("subject", "subjects"), coded("movement", "movements"))).alias("link"),
     ).select("item_id", "link.dimension", "link.code")
     catalog = ThemeCatalog(codes, items, links, families)
     problems = catalog_problems(catalog).limit(20).collect()

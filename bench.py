@@ -19,9 +19,8 @@ from docketflow.streaming import page_stream  # noqa: E402
 HEADLINE = [
     "overview_stats", "overview_stats_cut", "signal_distribution", "theme_distribution", "facet_subject",
     "process_summaries", "export_rows", "filter_same_representation", "filter_decision_default", "discovery_and",
-    "page_scan", "cover_projection", "payload_versions", "capture_outcomes", "latest_projection", "movement_content",
-    "movement_statuses", "multiset_ordinals", "snapshot_diff", "alteration_match", "rule_evaluation", "publication_swap",
-    "watch_intervals", "news_movements", "decision_history", "rolling_quota", "page_boundaries", "cursor_breaks",
+    "page_scan", "cover_projection", "capture_outcomes", "movement_content", "multiset_ordinals", "snapshot_diff",
+    "alteration_match", "publication_swap", "watch_intervals", "decision_history", "rolling_quota", "page_boundaries", "cursor_breaks",
     "evidence_matrix", "percentile_lower", "canonical_hash", "date_status",
 ]
 

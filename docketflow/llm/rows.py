@@ -32,3 +32,29 @@ def lower_ascii(text: Column) -> Column:
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often the body mentions it."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+#: Log2 of the bits of a key filter; 2^20 bits are 128 KiB.
+FILTER_LOG2 = 20
+
+
+def key_filter(keys: DataFrame, name: str, log2: int = FILTER_LOG2) -> Column:
+    """A bit for the hash of each key as one value of fixed size, for :func:`may_hold`.
+
+    The bits are an aggregate of at most 2^log2 / 64 rows whatever the number of keys. A filter only
+    thins rows before an exact join: many keys make it let more through, never less.
+    """
+    spark = keys.sparkSession
+    place = F.pmod(F.xxhash64(name), F.lit(1 << log2))
+    bit = F.expr("shiftleft(1L, CAST(p & 63 AS INT))")
+    found = keys.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(bit).alias("b"))
+    full = spark.range(0, (1 << log2) >> 6, 1, 1).withColumnRenamed("id", "w").join(found, "w", "left")
+    rows = F.array_sort(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0).cast("long")).alias("b"))))
+    return full.agg(F.transform(rows, lambda r: r["b"]).alias("bits")).scalar()
+
+
+def may_hold(bits: Column, key: Column, log2: int = FILTER_LOG2) -> Column:
+    """False only where ``key`` is not in the filter."""
+    place = F.pmod(F.xxhash64(key), F.lit(1 << log2))
+    word = F.element_at(bits, (F.shiftright(place, 6) + 1).cast("int"))
+    return F.getbit(word, place.bitwiseAND(F.lit(63)).cast("int")) == 1

@@ -36,4 +36,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from docketflow.llm import anchor_dedup, decontamination, ngram_ratio, pattern_packing  # noqa: F401
+    from docketflow.llm import (  # noqa: F401
+        anchor_dedup, decontamination, ngram_ratio, pattern_packing, personal_data, vector_shards,
+    )

@@ -44,24 +44,28 @@ def rule_code(schema: Column, text: Column) -> Column:
     return F.when(digits, F.ltrim(text, F.lit("0")))
 
 
-def nested_codes(value: Column, depth: int = 4) -> Column:
+def _own_code(value: Column) -> Column:
+    """The code of one object: an integer, or ASCII digits without leading zeros; else NULL."""
+    code = J.get(value, "$.codigo")
+    text = J.get(value, "$.codigo", "string")
+    digits = F.when(J.is_text(code) & text.rlike("^[0-9]+$"), F.regexp_replace(text, "^0+(?=[0-9])", ""))
+    return F.coalesce(_integer_text(code), digits)
+
+
+def nested_codes(value: Column) -> Column:
     """Codes of an object, of a list of objects, and of lists inside lists, as an array of text.
 
-    Unlike a rule code, zero and negative integers count here. ``depth`` bounds how many lists
-    may lie inside each other.
+    Unlike a rule code, zero and negative integers count here. Each step opens one level of lists in
+    place; a value has no more levels than opening brackets, so no list stays closed.
     """
-    code = J.get(value, "$.codigo")
-    integer = _integer_text(code)
-    digits = F.when(
-        J.is_text(code) & J.get(value, "$.codigo", "string").rlike("^[0-9]+$"),
-        F.regexp_replace(J.get(value, "$.codigo", "string"), "^0+(?=[0-9])", ""),
-    )
-    own = F.when(J.is_object(value), F.array_compact(F.array(F.coalesce(integer, digits))))
-    if depth == 0:
-        return F.coalesce(own, F.array().cast("array<string>"))
-    items = J.get(value, "$", "array<variant>")
-    below = F.flatten(F.transform(items, lambda item: nested_codes(item, depth - 1)))
-    return F.coalesce(own, below, F.array().cast("array<string>"))
+    levels = F.coalesce(F.regexp_count(F.to_json(value), F.lit(r"\[")), F.lit(0))
+
+    def open_lists(items: Column) -> Column:
+        return F.flatten(F.transform(items, lambda item: F.coalesce(J.get(item, "$", "array<variant>"), F.array(item))))
+
+    steps = F.when(levels > 0, F.sequence(F.lit(1), levels)).otherwise(F.array().cast("array<int>"))
+    opened = F.aggregate(steps, F.array(value), lambda items, _: open_lists(items))
+    return F.array_compact(F.transform(opened, lambda item: F.when(J.is_object(item), _own_code(item))))
 
 
 def sorted_distinct(codes: Column) -> Column:

@@ -13,6 +13,10 @@ import pandas as pd
 
 # The fields of a movement that have a meaning of their own.
 KNOWN_FIELDS = ("codigo", "dataHora", "nome", "orgaoJulgador", "complementosTabelados")
+# The key of a page cursor, and what stands for a hidden value.
+CURSOR_KEY = "search_after"
+HIDDEN_CURSOR = "<cursor-redigido>"
+HIDDEN_NUMBER = "<numeroProcesso-observado-redigido>"
 
 
 def all_finite(value: object) -> bool:
@@ -46,6 +50,34 @@ def canonical_texts(texts: pd.Series) -> pd.Series:
     return pd.Series([one(text) for text in texts], dtype="object")
 
 
+def hidden(value: object) -> object:
+    """A parsed value without case numbers and cursor values."""
+    if isinstance(value, dict):
+        return {
+            key: [HIDDEN_CURSOR] * len(item) if key == CURSOR_KEY and isinstance(item, list) else hidden(item)
+            for key, item in value.items()
+        }
+    if isinstance(value, list):
+        return [hidden(item) for item in value]
+    if isinstance(value, str) and len(value) == 20 and value.isascii() and value.isdigit():
+        return HIDDEN_NUMBER
+    return value
+
+
+def redacted_texts(texts: pd.Series) -> pd.Series:
+    """Canonical text without case numbers and cursor values; None for a missing text and for text that is no JSON."""
+
+    def one(text: str | None) -> str | None:
+        if text is None or text != text:
+            return None
+        try:
+            return dump_canonical(hidden(json.loads(text)))
+        except ValueError:
+            return None
+
+    return pd.Series([one(text) for text in texts], dtype="object")
+
+
 def movement_parts(
     texts: pd.Series, statuses: pd.Series, normalized: pd.Series, comparable: pd.Series
 ) -> pd.DataFrame:

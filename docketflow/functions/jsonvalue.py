@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docketflow.functions.exact import canonical_texts
+from docketflow.functions.exact import CURSOR_KEY, HIDDEN_NUMBER, canonical_texts, redacted_texts
 
 # A VARIANT normalises 1.0 to 1 and sorts keys by UTF-16 unit, and it writes control characters
 # with upper-case escapes. A text that may hold any of these takes the exact path below. The tests
@@ -105,25 +105,15 @@ def json_object(*fields: tuple[str, Column]) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
-def redact(text: Column, cursor_key: str = "search_after") -> Column:
-    """Hide every 20-digit text value and all values of a cursor array in a JSON text.
+_redacted_exact = F.pandas_udf(redacted_texts, T.StringType())
 
-    Works on the JSON tokens of the text: a token is hidden only when it is a whole string value,
-    and an object key is never touched.
+
+def redact(text: Column) -> Column:
+    """Hide every 20-digit text value and the values of every cursor list in a JSON text.
+
+    Works at any depth and leaves object keys and all other values as they are. A text that names a cursor takes the
+    exact form; in the others a whole string value is replaced where it stands.
     """
-    number = F.lit("<numeroProcesso-observado-redigido>")
-    cursor = F.lit("<cursor-redigido>")
-    hidden_numbers = F.regexp_replace(
-        text, r'(?<=[\[,:])(\s*)"[0-9]{20}"(?=\s*[,\]}])', F.concat(F.lit('$1"'), number, F.lit('"'))
-    )
-    whole = F.try_parse_json(hidden_numbers)
-    size = F.size(get(whole, f"$.{cursor_key}", "array<variant>"))
-    replaced = F.concat(
-        F.lit("["), F.concat_ws(",", F.array_repeat(F.concat(F.lit('"'), cursor, F.lit('"')), size)), F.lit("]")
-    )
-    entries = get(whole, "$", "map<string,variant>")
-    swapped = F.map_concat(
-        F.map_filter(entries, lambda key, _: key != cursor_key),
-        F.create_map(F.lit(cursor_key), F.parse_json(replaced)),
-    )
-    return F.when(size > 0, F.to_json(F.to_variant_object(swapped))).otherwise(F.to_json(whole))
+    has_cursor = F.contains(text, F.lit(CURSOR_KEY)) | F.contains(text, F.lit("\\"))
+    replaced = F.regexp_replace(text, r'(?<=[\[,:])(\s*)"[0-9]{20}"(?=\s*[,\]}])', f'$1"{HIDDEN_NUMBER}"')
+    return F.coalesce(canonical_json(F.when(~has_cursor, replaced)), _redacted_exact(F.when(has_cursor, text)))

@@ -32,30 +32,35 @@ def fold_decisions(log: DataFrame, order: Sequence[str], bucket: Column) -> Data
     return O.running_totals(changes, ["process_id"], list(order), bucket, {"version": F.lit(1)})
 
 
-def fold_requests(requests: DataFrame, order: Sequence[str], max_rounds: int = 10_000) -> DataFrame:
+def fold_requests(requests: DataFrame, order: Sequence[str]) -> DataFrame:
     """Decision history from requests that name the version they expect.
 
     A NULL field keeps its current value. A request is accepted when it is the earliest one, in
     log order and after the acceptance of the version it expects, that changes something; others
     conflict or change nothing, and a confirmed link without a note is refused. One round settles
     one version of every process at once: it picks the earliest candidate per process with a
-    partial aggregate, so a busy process never meets in one task. Rounds end when no process
-    accepts anything more; lineage is cut by reliable checkpoints.
+    partial aggregate, so a busy process never meets in one task. Requests are written by expected
+    version and a round reads its own version only. Rounds end by themselves when no process accepts anything
+    more; each round's rows are written apart and all are read together at the end.
     """
-    from docketflow.session import cut_lineage
+    from docketflow.session import cut_lineage, stored, working_folder
 
-    rows = cut_lineage(
+    spark = requests.sparkSession
+    rows = stored(
         requests.select(
             "process_id", "expected_version", "decision", "rural_link", F.trim("note").alias("note"),
             F.struct(*[F.col(name) for name in order]).alias("__at"),
-        )
+        ),
+        ["expected_version"],
     )
+    folder = working_folder(spark)
     settled = rows.groupBy("process_id").agg(F.lit(0).alias("version")).withColumns(
         {"decision": F.lit("pending"), "rural_link": F.lit("unconfirmed"), "note": F.lit(""),
          "__at": F.lit(None).cast(rows.schema["__at"].dataType)}
     )
-    history: DataFrame | None = None
-    for version in range(1, max_rounds + 2):
+    version = 0
+    while True:
+        version += 1
         before = settled.select(
             "process_id", F.col("__at").alias("__after"), *[F.col(n).alias(f"__{n}") for n in DECISION_STATE]
         )
@@ -68,14 +73,15 @@ def fold_requests(requests: DataFrame, order: Sequence[str], max_rounds: int = 1
             changed = changed | (F.col(name) != F.col(f"__{name}"))
         allowed = (F.col("rural_link") != "confirmed") | (F.col("note") != "")
         packed = F.struct("__at", *DECISION_STATE)
-        settled = cut_lineage(
-            merged.where(changed & allowed).groupBy("process_id").agg(F.min_by(packed, "__at").alias("__row"))
-            .select("process_id", F.lit(version).alias("version"), "__row.*")
+        accepted = merged.where(changed & allowed).groupBy("process_id").agg(F.min_by(packed, "__at").alias("__row")).select(
+            "process_id", F.lit(version).alias("version"), "__row.*"
         )
-        history = settled if history is None else history.unionByName(settled)
+        path = f"{folder}/round={version}"
+        accepted.write.parquet(path)
+        settled = spark.read.schema(accepted.schema).parquet(path)
         if settled.isEmpty():
+            history = spark.read.schema(accepted.schema).parquet(folder)
             return history.select("process_id", "version", *DECISION_STATE, F.col("__at").alias("accepted_at"))
-    raise RuntimeError(f"decision versions did not settle within {max_rounds} rounds")
 
 
 def current_decisions(history: DataFrame) -> DataFrame:
@@ -225,11 +231,21 @@ def group_rollup(members: DataFrame) -> DataFrame:
 
 
 def group_fingerprints(members: DataFrame) -> DataFrame:
-    """The operations of a group in tribunal order, hashed."""
-    entry = F.struct("tribunal", "operation")
-    return members.groupBy("group_id").agg(
-        F.sha2(F.to_json(F.array_sort(F.collect_set(entry))), 256).alias("fingerprint")
+    """Target, kind and the operations of a group in tribunal order, as canonical text and hashed.
+
+    ``members``: group_id, target_id, kind, mode, type, source, tribunal, and query and sort as canonical JSON
+    texts. Equal members are listed as often as they occur.
+    """
+    operation = J.json_object(
+        *[(name, F.col(name) if name in ("query", "sort") else J.quoted(F.col(name))) for name in ("mode", "query", "sort", "source", "tribunal", "type")]
+    )
+    listed = F.array_sort(F.collect_list(F.struct("tribunal", operation.alias("text"))))
+    grouped = members.groupBy("group_id", "target_id", "kind").agg(F.transform(listed, lambda x: x["text"]).alias("texts"))
+    whole = J.json_object(
+        ("kind", J.quoted(F.col("kind"))), ("operations", F.concat(F.lit("["), F.array_join("texts", ","), F.lit("]"))),
+        ("target_id", J.quoted(F.col("target_id"))),
     )
+    return grouped.select("group_id", J.content_hash(whole).alias("fingerprint"))
 
 
 def last_activity(*moments: Column) -> Column:

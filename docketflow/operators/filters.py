@@ -134,8 +134,7 @@ def current_signals(signals: DataFrame, rules: DataFrame, environment: str) -> D
     live = signals.where(
         F.col("is_published") & F.col("is_current") & (F.col("environment") == environment)
     )
-    # The rule catalog's size is checked on load.
-    return live.join(F.broadcast(enabled), ["rule_id", "rule_version"], "left_semi")
+    return live.join(enabled, ["rule_id", "rule_version"], "left_semi")
 
 
 def select_processes(tables: CaseTables, filters: ProcessFilters, environment: str = "demo") -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import fields
+
 from pyspark.sql import functions as F
 
-from docketflow.operators.filters import DiscoveryQuery, ProcessFilters, discover, select_processes
+from docketflow.operators.filters import CaseTables, DiscoveryQuery, ProcessFilters, current_signals, discover, select_processes
 from docketflow.plans import standins
 from docketflow.plans.registry import query
 from docketflow.plans.sqlparts import CASES, TRIBUNAL_LIST
@@ -78,12 +80,16 @@ def filter_court_unit(spark, sf_dir):
     return _chosen(spark, sf_dir, court_unit="07")
 
 
-@query("filter_literal_wildcards", _rep("(contains(lower(r.court_unit_name), '#00%') OR contains(lower(r.court_unit_name), 'r_0'))"))
+@query("filter_literal_wildcards", _rep("r.court_unit_code::INT % 3 = 0 AND contains(lower(r.court_unit_name), 'r#00')"))
 def filter_literal_wildcards(spark, sf_dir):
-    """Percent sign and underscore stand for themselves, so nothing matches."""
+    """Percent sign and underscore stand for themselves: only names that hold both signs match."""
     tables = standins.case_tables(spark, sf_dir)
-    first = select_processes(tables, ProcessFilters(court_unit="#00%"))
-    return first.unionByName(select_processes(tables, ProcessFilters(court_unit="r_0"))).select("process_id")
+    marked = F.when(F.col("court_unit_code").cast("int") % 3 == 0, F.concat(F.lit("50%_"), "court_unit_name")).otherwise(
+        F.translate("court_unit_name", "#", "%")
+    )
+    kept = {f.name: getattr(tables, f.name) for f in fields(CaseTables)}
+    named = CaseTables(**{**kept, "representations": tables.representations.withColumn("court_unit_name", marked)})
+    return select_processes(named, ProcessFilters(court_unit="0%_suppli")).select("process_id")
 
 
 @query("filter_same_representation", _rep("""r.tribunal = 'TJGO' AND r.class_name = 'Classe A'
@@ -123,11 +129,15 @@ def filter_signal_category(spark, sf_dir):
     return _chosen(spark, sf_dir, signal_category="penhora")
 
 
-@query("filter_signal_inactive", f"WITH {CASES} SELECT process_id FROM processes WHERE false")
+@query("filter_signal_inactive", f"""WITH {CASES} SELECT process_id FROM processes
+WHERE process_id IN (SELECT process_id FROM signals WHERE is_published AND is_current AND category = 'leilao' AND rule_id = 'sinal.leilao' AND rule_version = '1.0.0')""")
 def filter_signal_inactive(spark, sf_dir):
-    """The same category where its rule is not enabled."""
+    """Two categories where only one of the rules is enabled: signals of the other don't count."""
     tables = standins.case_tables(spark, sf_dir)
-    return select_processes(tables, ProcessFilters(signal_category="penhora"), environment="real").select("process_id")
+    rules = tables.rules.withColumn("enabled_real", F.col("rule_id") == "sinal.leilao")
+    live = standins.signals(spark, sf_dir).withColumn("environment", F.lit("real"))
+    kept = current_signals(live, rules, "real").where(F.col("category").isin("leilao", "penhora"))
+    return tables.processes.join(kept, "process_id", "left_semi").select("process_id")
 
 
 def _records(spark, sf_dir):

@@ -392,19 +392,17 @@ def rolling_quota(spark, sf_dir):
 
 @query("quarantine_resolution", f"""{_WITH} SELECT collection_id, page_key, l_linenumber AS hit_ordinal, validation_code,
   CASE WHEN validation_code = 'SOURCE_ID_MISMATCH' THEN 'resolved' ELSE 'pending' END AS resolution
-FROM hits WHERE validation_code IS NOT NULL AND NOT (t = 5 OR t = 1)""")
+FROM hits WHERE validation_code IS NOT NULL""")
 def quarantine_resolution(spark, sf_dir):
     """Rejected hits tried again after their source repaired its identifiers."""
     prepared = _prepared(spark, sf_dir)
     rejections = ingest.cover_rejections(prepared)
-    # Hits of tax 1 and 5 have array problems of their own and are left to the movement query.
-    kept = rejections.where(~F.col("hit").contains(", 7]") & (F.col("hit").contains('"movimentos"')))
-    repaired = kept.withColumn("hit", F.regexp_replace("hit", '"id":"other-', '"id":"')).withColumnRenamed("first_observed_at", "responded_at")
+    repaired = rejections.withColumn("hit", F.regexp_replace("hit", '"id":"other-', '"id":"')).withColumnRenamed("first_observed_at", "responded_at")
     again = ingest.prepare_hits(repaired.select(
         "collection_id", "page_revision", "page_key", "hit_ordinal", "responded_at", "tribunal", "mode", "hit"
     ))
     issues = ingest.cover_rejections(again)
-    return L.quarantine_resolutions(kept, issues).select(*ingest.POSITION, "validation_code", "resolution")
+    return L.quarantine_resolutions(rejections, issues).select(*ingest.POSITION, "validation_code", "resolution")
 
 
 @query("late_projection", f"""{_WITH}, firsts AS (

@@ -96,32 +96,39 @@ def daily_schedule(spark, sf_dir):
 @query("structured_codes", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
   CASE l_linenumber WHEN 1 THEN l_partkey::VARCHAR WHEN 2 THEN '00' || l_partkey WHEN 5 THEN l_partkey || 'x' END AS cover_code,
   CASE WHEN l_partkey > 0 AND l_linenumber IN (1, 2) THEN l_partkey::VARCHAR END AS rule_code,
-  CASE l_linenumber WHEN 6 THEN l_partkey::VARCHAR WHEN 7 THEN l_partkey || ',' || l_suppkey ELSE '' END AS nested FROM lineitem""")
+  CASE l_linenumber WHEN 6 THEN l_partkey::VARCHAR WHEN 7 THEN l_partkey || ',' || l_suppkey || repeat(',' || l_orderkey || ',' || l_suppkey, (l_suppkey % 2)::INT) ELSE '' END AS nested FROM lineitem""")
 def structured_codes(spark, sf_dir):
     """Codes as integers, texts, fractions, booleans, objects and lists inside lists."""
     part, number = F.col("l_partkey").cast("string"), F.col("l_linenumber")
+    # Half of the lists hold another one thirty lists down, and one six lists down behind it.
+    deep = F.when(F.col("l_suppkey") % 2 == 1, F.concat(
+        F.lit("," + "[" * 30 + '{"codigo":'), F.col("l_orderkey"), F.lit("}" + "]" * 30 + "," + "[" * 6 + '{"codigo":'), F.col("l_suppkey"), F.lit("}" + "]" * 6)
+    )).otherwise("")
     text = (
         F.when(number == 1, part).when(number == 2, F.concat(F.lit('" 00'.replace(" ", "")), part, F.lit('"')))
         .when(number == 3, F.lit("true")).when(number == 4, F.lit("31.5")).when(number == 5, F.concat(F.lit('" '), part, F.lit('x "')))
         .when(number == 6, F.concat(F.lit('{"codigo":'), part, F.lit("}")))
-        .otherwise(F.concat(F.lit('[{"codigo":"'), part, F.lit('"},[{"codigo":'), F.col("l_suppkey"), F.lit('},{"nome":"x"}]]')))
+        .otherwise(F.concat(F.lit('[{"codigo":"'), part, F.lit('"},[{"codigo":'), F.col("l_suppkey"), F.lit('},{"nome":"x"}]'), deep, F.lit("]")))
     )
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     value = standins.read(spark, sf_dir, "lineitem").select(*keys, F.try_parse_json(text).alias("v"))
     leaf = value.select("*", *[part.alias(name) for name, part in zip(("s", "t"), C.leaf(F.col("v")))])
     return leaf.select(
         *keys, C.cover_code(F.col("s"), F.col("t")).alias("cover_code"), C.rule_code(F.col("s"), F.col("t")).alias("rule_code"),
-        F.array_join(C.nested_codes(F.col("v"), 2), ",").alias("nested"),
+        F.array_join(C.nested_codes(F.col("v")), ",").alias("nested"),
     )
 
 
-@query("redaction", """SELECT event_id, '{"k":' || json_extract(props, '$.k') || ',"n":["<numeroProcesso-observado-redigido>","x"],"search_after":["<cursor-redigido>","<cursor-redigido>"]}' AS shown FROM events""")
+@query("redaction", """SELECT event_id, CASE event_type WHEN 'view' THEN '{"k":' || json_extract(props, '$.k') || ',"v":[1.0,"<numeroProcesso-observado-redigido>"]}'
+  ELSE '{"k":' || json_extract(props, '$.k') || ',"n":["<numeroProcesso-observado-redigido>","x"],"q":[{"f":1.0,"search_after":["<cursor-redigido>","<cursor-redigido>","<cursor-redigido>"]}],"search_after":["<cursor-redigido>","<cursor-redigido>"]}' END AS shown FROM events""")
 def redaction(spark, sf_dir):
-    """Case numbers and cursors hidden in payloads."""
+    """Case numbers and cursors at any depth hidden in payloads; other values stay as written."""
     digits = F.lpad(F.col("user_id").cast("string"), 20, "0")
     text = F.concat(
-        F.lit('{"search_after":[1,"'), digits, F.lit('"],"n":["'), digits, F.lit('","x"],"k":'), F.get_json_object("props", "$.k"), F.lit("}")
+        F.lit('{"search_after":[1,"'), digits, F.lit('"],"q":[{"search_after":[[1,2],{"a":3},4],"f":1.0}],"n":["'), digits, F.lit('","x"],"k":'), F.get_json_object("props", "$.k"), F.lit("}")
     )
+    plain = F.concat(F.lit('{"v":[1.0,"'), digits, F.lit('"],"k":'), F.get_json_object("props", "$.k"), F.lit("}"))
+    text = F.when(F.col("event_type") == "view", plain).otherwise(text)
     return standins.read(spark, sf_dir, "events").select("event_id", J.redact(text).alias("shown"))
 
 

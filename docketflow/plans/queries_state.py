@@ -316,13 +316,18 @@ def group_rollup(spark, sf_dir):
     return out.withColumn("updated_day", F.date_format("updated_at", "yyyy-MM-dd")).drop("updated_at")
 
 
-@query("group_fingerprint", """WITH m AS (SELECT DISTINCT o_custkey AS group_id, o_orderpriority AS tribunal, o_orderstatus AS operation FROM orders)
-SELECT group_id, sha256('[' || string_agg('{"tribunal":"' || tribunal || '","operation":"' || operation || '"}', ',' ORDER BY tribunal, operation) || ']') AS fingerprint
+@query("group_fingerprint", """WITH m AS (SELECT o_custkey AS group_id, o_orderpriority AS tribunal, '{"mode":"demo","query":{"k":' || (o_orderkey % 3) || '},"sort":[],"source":"synthetic","tribunal":"'
+    || o_orderpriority || '","type":"' || o_orderstatus || '"}' AS t FROM orders)
+SELECT group_id, sha256('{"kind":"' || CASE WHEN group_id % 2 = 0 THEN 'search' ELSE 'preset' END || '","operations":[' || string_agg(t, ',' ORDER BY tribunal, t) || '],"target_id":"t' || (group_id // 10) || '"}') AS fingerprint
 FROM m GROUP BY 1""")
 def group_fingerprint(spark, sf_dir):
-    """The operations of each group in order, hashed."""
-    members = standins.read(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("group_id"), F.col("o_orderpriority").alias("tribunal"), F.col("o_orderstatus").alias("operation")
+    """Target, kind and all operations of each group in order, hashed; equal operations count as often as they occur."""
+    orders = standins.read(spark, sf_dir, "orders")
+    members = orders.select(
+        F.col("o_custkey").alias("group_id"), F.concat(F.lit("t"), F.floor(F.col("o_custkey") / 10)).alias("target_id"),
+        F.when(F.col("o_custkey") % 2 == 0, "search").otherwise("preset").alias("kind"), F.lit("demo").alias("mode"), F.col("o_orderstatus").alias("type"),
+        F.lit("synthetic").alias("source"), F.col("o_orderpriority").alias("tribunal"),
+        F.concat(F.lit('{"k":'), F.col("o_orderkey") % 3, F.lit("}")).alias("query"), F.lit("[]").alias("sort"),
     )
     return N.group_fingerprints(members)
 

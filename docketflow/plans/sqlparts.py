@@ -47,8 +47,12 @@ signals AS (
 live_signals AS (
   SELECT * FROM signals WHERE is_published AND is_current
   AND ((rule_id = 'sinal.leilao' AND rule_version = '1.0.0') OR (rule_id = 'sinal.penhora' AND rule_version = '1.0.0'))),
+pair_dates AS (
+  SELECT {REP} AS representation_id, l_orderkey AS process_id, o_orderdate, min(l_shipdate) AS shipped
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey, l_suppkey, o_orderdate),
 collections AS (
-  SELECT strftime(o_orderdate, '%Y-%m') AS collection_id, min(o_orderdate) AS created_at FROM orders GROUP BY 1),
+  SELECT strftime(d, '%Y-%m') AS collection_id, min(d) AS created_at
+  FROM (SELECT o_orderdate AS d FROM orders UNION ALL SELECT shipped FROM pair_dates) GROUP BY 1),
 runs AS (
   SELECT 'run-' || collection_id AS run_id, collection_id, created_at, substr(collection_id, 6, 2)::INT AS m,
          CASE WHEN m <= 3 THEN 'completed' WHEN m <= 6 THEN 'partial' WHEN m <= 9 THEN 'failed' ELSE 'queued' END AS status,
@@ -56,16 +60,12 @@ runs AS (
          {TRIBUNAL_LIST}[m + 1] AS tribunal,
          CASE WHEN m <= 6 THEN 'tema.primeiro' WHEN m <= 11 THEN 'custom:segundo' ELSE 'antigo' END AS preset_id
   FROM collections),
-pair_dates AS (
-  SELECT {REP} AS representation_id, l_orderkey AS process_id, o_orderdate, min(l_shipdate) AS shipped
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey, l_suppkey, o_orderdate),
-all_results AS (
+results AS (
   SELECT representation_id, process_id, strftime(o_orderdate, '%Y-%m') AS collection_id, o_orderdate AS included_at,
          'new' AS capture_outcome FROM pair_dates
   UNION ALL
   SELECT representation_id, process_id, strftime(shipped, '%Y-%m'), shipped, 'updated' FROM pair_dates
-  WHERE strftime(shipped, '%Y-%m') <> strftime(o_orderdate, '%Y-%m')),
-results AS (SELECT * FROM all_results WHERE collection_id IN (SELECT collection_id FROM collections))
+  WHERE strftime(shipped, '%Y-%m') <> strftime(o_orderdate, '%Y-%m'))
 """
 
 # Line items as hits: which check fails first, and the payload and movements of the sound ones.

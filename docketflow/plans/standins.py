@@ -34,12 +34,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """The rows over all cores when the table is a small file that would be one task."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def tribunal_of(nation: Column) -> Column:
     """One tribunal per nation key."""
     return F.element_at(F.array(*[F.lit(name) for name in TRIBUNALS]), nation + 1)
@@ -159,9 +153,10 @@ def month_of(column: str) -> Column:
 
 
 def collections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    months = read(spark, sf_dir, "orders").groupBy(month_of("o_orderdate").alias("collection_id")).agg(
-        F.min("o_orderdate").cast("timestamp").alias("created_at")
-    )
+    """The months in which an order is placed or a representation is first shipped."""
+    shipped = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.min("l_shipdate").alias("day"))
+    days = read(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("day")).unionByName(shipped.select("day"))
+    months = days.groupBy(month_of("day").alias("collection_id")).agg(F.min("day").cast("timestamp").alias("created_at"))
     number = F.substring("collection_id", 6, 2)
     # The last month of a year has no stored theme name.
     theme = F.when(
@@ -209,8 +204,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
         key, month_of("shipped").alias("collection_id"), F.col("shipped").cast("timestamp").alias("included_at"),
         F.lit("updated").alias("capture_outcome"),
     )
-    known = collections(spark, sf_dir).select("collection_id")
-    return ordered.unionByName(shipped).join(known, "collection_id", "left_semi")
+    return ordered.unionByName(shipped)
 
 
 class StandInTables(CaseTables):
@@ -254,7 +248,8 @@ def line_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     A representation is (order, line number), so repeated pairs become its versions. Which defect
     a hit has follows from its tax, discount and quantity.
     """
-    line = spread(read(spark, sf_dir, "lineitem")).withColumns(
+    # Dealt by key at every size: the given file may be one task, and each row becomes a text to parse.
+    line = read(spark, sf_dir, "lineitem").repartition("l_orderkey").withColumns(
         {
             "t": F.round(F.col("l_tax") * 100).cast("int"),
             "d": F.round(F.col("l_discount") * 100).cast("int"),

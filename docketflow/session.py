@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,13 +69,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def working_folder(spark: SparkSession) -> str:
+    """A new name in the shared folder."""
+    return f"{ensure_checkpoint_dir(spark)}/docketflow-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write rows that several plans read to a Parquet table in the shared folder and read them back.
 
     Unlike a cache this survives lost executors without recomputing, and later reads take only the
-    columns they need.
+    columns they need, and only the partitions they name.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/docketflow-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = working_folder(spark)
+    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

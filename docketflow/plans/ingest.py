@@ -190,10 +190,14 @@ def observations(valid: DataFrame) -> DataFrame:
 
     A payload that returns after another one counts as updated.
     """
-    seen = valid.select(
+    return observations_of(valid.select(
         *POSITION, "page_revision", "representation_id", "version_id", "process_number",
         "observed_at", "payload_sha256", "filed_original",
-    )
+    ))
+
+
+def observations_of(seen: DataFrame) -> DataFrame:
+    """Outcomes of stored positions, see :func:`observations`."""
     chained = O.previous_values(
         seen, ["representation_id"], OBSERVATION_ORDER, O.time_bucket(F.col("observed_at")),
         ["payload_sha256", "filed_original", "version_id"],

@@ -16,20 +16,70 @@ def _folder(spark) -> str:
     return f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
+def _streamed(spark, sf_dir) -> page_stream.FactStore:
+    """A store that all event pages went into in two streams and a replay."""
+    folder = _folder(spark)
+    pages = standins.event_pages(spark, sf_dir)
+    for half in (0, 1):
+        pages.where(F.col("page_revision") % 2 == half).write.parquet(f"{folder}/pages/half={half}")
+    store = page_stream.FactStore(f"{folder}/facts")
+    for name in ("half=0", "half=1", ""):
+        page_stream.start(spark, f"{folder}/pages/{name}", store, f"{folder}/checkpoint-{name[-1:] or 'replay'}").awaitTermination()
+    return store
+
+
 @query("page_stream_ingest", """SELECT sha256('{"collection_id":"events","previous_checkpoint_revision":' || (event_id // 100) || '}') AS page_key,
   (event_id % 100 + 1)::INT AS hit_ordinal, md5('synthetic' || chr(1) || 'TJGO' || chr(1) || 'u' || user_id) AS representation_id,
   sha256('{"id":"u' || user_id || '","movimentos":[{"codigo":' || json_extract(props, '$.k') || '}],"numeroProcesso":"' || lpad(user_id::VARCHAR, 20, '0')
     || '","tipo":"' || event_type || '","tribunal":"TJGO"}') AS payload_sha256 FROM events""")
 def page_stream_ingest(spark, sf_dir):
-    """All pages through the stream in several batches, then all of them again as a replay."""
-    folder = _folder(spark)
-    standins.event_pages(spark, sf_dir).repartition(4, "page_revision").write.parquet(f"{folder}/pages")
-    store = page_stream.FactStore(f"{folder}/facts")
-    page_stream.start(spark, f"{folder}/pages", store, f"{folder}/first", files_per_batch=2).awaitTermination()
-    page_stream.start(spark, f"{folder}/pages", store, f"{folder}/replay", files_per_batch=3).awaitTermination()
+    """All pages through the stream, those of even number first, then all of them again as a replay."""
+    store = _streamed(spark, sf_dir)
     return page_stream.observations(spark, store).select("page_key", "hit_ordinal", "representation_id", "payload_sha256")
 
 
+@query("stream_movements", """WITH pages AS (SELECT event_id // 100 AS page, max(ts) AS moment FROM events GROUP BY 1),
+held AS (SELECT user_id, event_type, json_extract(props, '$.k')::VARCHAR AS k, coalesce(min(moment) FILTER (page % 2 = 0), min(moment)) AS moment FROM events JOIN pages ON event_id // 100 = page GROUP BY 1, 2, 3)
+SELECT md5('synthetic' || chr(1) || 'TJGO' || chr(1) || 'u' || user_id) AS representation_id, sha256('{"camposExtras":{},"codigo":' || k || '}') AS content_sha256,
+  1::BIGINT AS last_ordinal, strftime(min(moment), '%Y-%m-%d %H:%M:%S') AS first_seen, count(*) AS snapshots FROM held GROUP BY user_id, k""")
+def stream_movements(spark, sf_dir):
+    """Occurrences of the movements that the stream stored with the pages, and how many snapshots hold each.
+
+    A version keeps the time at which it first arrived, and pages of even number arrive first.
+    """
+    store = _streamed(spark, sf_dir)
+    found = page_stream.occurrences(spark, store).select("representation_id", "content_sha256", "last_ordinal", "first_observed_at")
+    held = page_stream.facts(spark, store, "contents").groupBy("representation_id", "content_sha256").agg(F.count("*").alias("snapshots"))
+    return found.join(held, ["representation_id", "content_sha256"]).select(
+        "representation_id", "content_sha256", "last_ordinal", F.date_format("first_observed_at", "yyyy-MM-dd HH:mm:ss").alias("first_seen"), "snapshots"
+    )
+
+
+@query("stream_coverage", """WITH pages AS (SELECT event_id // 100 AS page, max(ts) AS moment FROM events GROUP BY 1),
+seen AS (SELECT *, event_type || json_extract(props, '$.k')::VARCHAR AS content, event_id // 100 AS page FROM events),
+placed AS (SELECT s.*, moment, lag(content) OVER (PARTITION BY user_id ORDER BY moment, page, event_id) AS before FROM seen s JOIN pages USING (page)),
+outcome AS (SELECT page, user_id, event_id, CASE WHEN before IS NULL THEN 'new' WHEN before <> content THEN 'updated' ELSE 'unchanged' END AS o,
+  row_number() OVER (PARTITION BY page, user_id ORDER BY event_id) AS n FROM placed)
+SELECT page AS page_revision, count(*) FILTER (o = 'new') AS new, count(*) FILTER (o = 'updated') AS updated, count(*) FILTER (o = 'unchanged') AS unchanged
+FROM outcome WHERE n = 1 GROUP BY page""")
+def stream_coverage(spark, sf_dir):
+    """Per stored page: representations that were new, updated or unchanged."""
+    return page_stream.coverage(spark, _streamed(spark, sf_dir)).select("page_revision", "new", "updated", "unchanged")
+
+
+@query("stream_refusals", """WITH hits AS (SELECT *, event_id // 100 AS page, event_id % 100 + 1 AS ordinal FROM events)
+SELECT 'position with other content' AS reason, sha256('{"collection_id":"events","previous_checkpoint_revision":' || page || '}') || ':' || ordinal AS subject FROM hits WHERE event_type = 'view'
+UNION ALL SELECT 'page with another number of hits', sha256('{"collection_id":"events","previous_checkpoint_revision":' || page || '}') FROM hits GROUP BY page HAVING page % 2 = 0""")
+def stream_refusals(spark, sf_dir):
+    """What a replay of all pages is refused for when views have changed and every other page has one hit more."""
+    store = _streamed(spark, sf_dir)
+    pages = standins.event_pages(spark, sf_dir)
+    changed = pages.withColumn("payload", F.replace("payload", F.lit('"tipo":"view"'), F.lit('"tipo":"seen"')))
+    extra = F.lit(',{"_id":"extra","sort":[9,"z"],"_source":{"id":"extra","numeroProcesso":"99999999999999999999","tribunal":"TJGO"}}]}}')
+    longer = F.when(F.col("page_revision") % 2 == 0, F.concat(F.expr("left(payload, length(payload) - 3)"), extra)).otherwise(F.col("payload"))
+    return page_stream.check_batch(changed.withColumn("payload", longer), store)
+
+
 @query("stateful_diff", """WITH daily AS (SELECT user_id, event_type, date_trunc('day', ts) AS d, count(*) AS n FROM events GROUP BY 1, 2, 3)
 SELECT user_id::VARCHAR AS representation_id, event_type AS content_sha256, max(n) AS ordinals FROM daily GROUP BY 1, 2""")
 def stateful_diff(spark, sf_dir):
@@ -38,8 +88,8 @@ def stateful_diff(spark, sf_dir):
     daily = standins.read(spark, sf_dir, "events").groupBy(
         F.col("user_id").cast("string").alias("representation_id"), F.col("event_type").alias("content_sha256"), F.date_trunc("day", "ts").alias("day")
     ).agg(F.count(F.lit(1)).alias("copies"))
-    contents = daily.drop("day")
-    contents.repartition(3, "copies").write.parquet(f"{folder}/contents")
+    contents = daily.repartitionByRange("day").drop("day")
+    contents.write.parquet(f"{folder}/contents")
     stateful.run(spark, f"{folder}/contents", contents.schema, f"{folder}/ranges", f"{folder}/state", files_per_batch=1)
     ranges = spark.read.schema(stateful.RANGE_SCHEMA).parquet(f"{folder}/ranges")
     return ranges.groupBy("representation_id", "content_sha256").agg(

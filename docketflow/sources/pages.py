@@ -60,11 +60,13 @@ def with_envelope(pages: DataFrame, payload: str = "payload") -> DataFrame:
     hits = F.col("__envelope.hits.hits")
     total = F.try_parse_json(F.col("__envelope.hits.total"))
     total_error = _total_error(F.col("__envelope.hits.total"), total)
+    # A text that stands where a hit should be reads like the hit's own text, so the kinds are taken from the page itself.
+    quoted = F.exists(F.from_json(F.col(payload), "hits STRUCT<hits: ARRAY<VARIANT>>")["hits"]["hits"], J.is_text)
     error = (
         F.when(~F.coalesce(F.ltrim(F.col(payload)).startswith("{"), F.lit(False)), "ENVELOPE_NOT_OBJECT")
         .when(F.col("__envelope.hits").isNull(), "HITS_NOT_OBJECT")
         .when(hits.isNull(), "HITS_NOT_ARRAY")
-        .when(F.exists(hits, lambda hit: ~_sound_hit(hit)), "HIT_NOT_SOUND")
+        .when(F.exists(hits, lambda hit: ~_sound_hit(hit)) | F.coalesce(quoted, F.lit(False)), "HIT_NOT_SOUND")
         .otherwise(total_error)
     )
     value, relation = total_parts(total)

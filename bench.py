@@ -22,6 +22,8 @@ HEADLINE = [
     "page_scan", "cover_projection", "capture_outcomes", "movement_content", "multiset_ordinals", "snapshot_diff",
     "alteration_match", "publication_swap", "watch_intervals", "decision_history", "rolling_quota", "page_boundaries", "cursor_breaks",
     "evidence_matrix", "percentile_lower", "canonical_hash", "date_status",
+    "payload_versions", "latest_projection", "movement_statuses", "rule_evaluation", "news_movements",
+    "alteration_counts", "decision_requests", "page_stream_ingest", "stateful_diff",
 ]
 
 INGEST_HITS = 25_001
@@ -56,7 +58,7 @@ def ingest_pages(spark, folder: str, page_size: int, movements: int = 0) -> None
         F.lit("TJGO").alias("tribunal"), F.lit("demo").alias("mode"),
         F.concat(F.lit('{"hits":{"total":{"value":10000,"relation":"gte"},"hits":['), "hits", F.lit("]}}")).alias("payload"),
     )
-    out.repartition(8, "page_revision").write.parquet(folder)
+    out.repartition("page_revision").write.parquet(folder)
 
 
 def ingest(spark, work: str, page_size: int, movements: int = 0) -> dict[str, float]:

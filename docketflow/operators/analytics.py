@@ -363,3 +363,25 @@ def discovery_reasons(included: DataFrame, explanations: DataFrame, observed: Da
         .alias("reason"),
     )
     return texts.select("representation_id", "reason").distinct()
+
+
+def refresh_targets(processes: DataFrame, representations: DataFrame, source: str, default: str = "TJGO") -> DataFrame:
+    """The distinct tribunals to ask for each process; one without representations of the source asks the default."""
+    known = representations.where(F.col("source") == source).select("process_id", "tribunal").distinct()
+    return processes.select("process_id").join(known, "process_id", "left").withColumn("tribunal", F.coalesce("tribunal", F.lit(default)))
+
+
+def watch_list(watchlist: DataFrame, page: int, size: int) -> DataFrame:
+    """A page of the active entries, the latest inclusion first."""
+    return page_of(watchlist.where("active"), page, size, F.desc("included_at"), F.col("process_id"))
+
+
+def decision_page(history: DataFrame, process_id: object, page: int, size: int) -> DataFrame:
+    """A page of one process's decision history, the newest version first."""
+    return page_of(history.where(F.col("process_id") == process_id), page, size, F.desc("version"))
+
+
+def definition_list(definitions: DataFrame, page: int, size: int, include_archived: bool = False) -> DataFrame:
+    """A page of saved definitions, the newest first; archived ones only where asked for."""
+    shown = definitions if include_archived else definitions.where("archived_at IS NULL")
+    return page_of(shown, page, size, F.desc("created_at"), F.col("definition_id"))

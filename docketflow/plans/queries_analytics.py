@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docketflow.operators import analytics as A
 from docketflow.operators import export as E
+from docketflow.operators import ordered as O
 from docketflow.operators import signals as S
 from docketflow.operators.filters import ProcessFilters, select_processes
 from docketflow.plans import standins
@@ -304,3 +305,39 @@ def discovery_reasons(spark, sf_dir):
         F.col("l_linenumber").cast("string").alias("code"),
     ).distinct()
     return A.discovery_reasons(included, explanations, observed)
+
+
+@query("refresh_targets", f"""WITH {CASES} SELECT DISTINCT p.process_id, coalesce(r.tribunal, 'TJGO') AS tribunal
+FROM processes p LEFT JOIN representations r ON r.process_id = p.process_id AND r.tribunal <> 'TJAC'""")
+def refresh_targets(spark, sf_dir):
+    """The tribunals to ask for each process; representations of another source don't count."""
+    source = F.when(F.col("tribunal") == "TJAC", "other").otherwise("synthetic")
+    return A.refresh_targets(standins.processes(spark, sf_dir), standins.representations(spark, sf_dir).withColumn("source", source), "synthetic")
+
+
+@query("watch_list", f"""WITH {CASES} SELECT process_id FROM watchlist WHERE active ORDER BY included_at DESC, process_id LIMIT 100 OFFSET 100""")
+def watch_list(spark, sf_dir):
+    """The second page of the watch list."""
+    return A.watch_list(standins.case_tables(spark, sf_dir).watchlist, 2, 100).select("process_id")
+
+
+@query("definition_list", """SELECT o_orderkey AS definition_id FROM orders WHERE o_orderstatus <> 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 100""")
+def definition_list(spark, sf_dir):
+    """The first hundred saved definitions that are not archived."""
+    rows = standins.read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("definition_id"), F.col("o_orderdate").alias("created_at"),
+        F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("archived_at"),
+    )
+    return A.definition_list(rows, 1, 100).select("definition_id")
+
+
+@query("decision_page", """WITH busiest AS (SELECT o_custkey FROM orders GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS version, o_orderstatus AS decision FROM orders WHERE o_custkey = (SELECT o_custkey FROM busiest)
+ORDER BY version DESC LIMIT 10 OFFSET 10""")
+def decision_page(spark, sf_dir):
+    """The second page of the longest decision history, the newest version first."""
+    log = standins.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("process_id"), F.col("o_orderstatus").alias("decision"), "o_orderdate", "o_orderkey")
+    bucket = O.time_bucket(F.col("o_orderdate").cast("timestamp"))
+    history = O.running_totals(log, ["process_id"], ["o_orderdate", "o_orderkey"], bucket, {"version": F.lit(1)})
+    sizes = log.groupBy("process_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "process_id").limit(1)
+    return A.decision_page(history, sizes.select("process_id").scalar(), 2, 10).select("version", "decision")

@@ -29,7 +29,7 @@ triage AS (
          CASE WHEN o_totalprice > 200000 THEN 'confirmed' ELSE 'unconfirmed' END AS rural_link
   FROM orders WHERE o_orderpriority NOT IN ('4-NOT SPECIFIED', '5-LOW')),
 watchlist AS (
-  SELECT o_orderkey AS process_id, o_orderpriority = '1-URGENT' AS active FROM orders
+  SELECT o_orderkey AS process_id, o_orderpriority = '1-URGENT' AS active, o_orderdate AS included_at FROM orders
   WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')),
 news AS (
   SELECT {ROW_KEY} AS news_id, l_orderkey AS process_id, {REP} AS representation_id,

@@ -112,7 +112,10 @@ def watchlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         read(spark, sf_dir, "orders")
         .where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
-        .select(F.col("o_orderkey").alias("process_id"), (F.col("o_orderpriority") == "1-URGENT").alias("active"))
+        .select(
+            F.col("o_orderkey").alias("process_id"), (F.col("o_orderpriority") == "1-URGENT").alias("active"),
+            F.col("o_orderdate").cast("timestamp").alias("included_at"),
+        )
     )
 
 

@@ -201,12 +201,13 @@ def insert_if_absent(spark, sf_dir):
     return added.select("l_orderkey", "l_linenumber", "first_shipped")
 
 
-@query("hash_collision_check", """WITH short AS (SELECT substr(sha256(text), 1, 3) AS hash, sha256(text) AS full_hash FROM documents)
-SELECT hash FROM short GROUP BY hash HAVING count(DISTINCT full_hash) > 1""")
+@query("hash_collision_check", """WITH h AS (SELECT sha256(CASE WHEN source IN ('src0', 'src7') THEN source || lang ELSE text END) AS hash, sha256(text) AS full_hash FROM documents)
+SELECT hash FROM h GROUP BY hash HAVING count(DISTINCT full_hash) > 1""")
 def hash_collision_check(spark, sf_dir):
-    """Shortened hashes of whole texts that stand for more than one text."""
-    texts = standins.read(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("content"))
-    return R.hash_collisions(texts.withColumn("hash", F.substring("content", 1, 3)), "hash", "content")
+    """Full hashes that stand for more than one text: two sources hash a label in place of the text."""
+    planted = F.when(F.col("source").isin("src0", "src7"), F.concat("source", "lang")).otherwise(F.col("text"))
+    texts = standins.read(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("content"), F.sha2(planted, 256).alias("hash"))
+    return R.hash_collisions(texts, "hash", "content")
 
 
 @query("origin_conflicts", """SELECT l_suppkey::VARCHAR AS source_id FROM lineitem GROUP BY l_suppkey

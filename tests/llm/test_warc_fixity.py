@@ -51,3 +51,13 @@ def test_only_wrong_branches_are_opened(spark):
 def test_empty(spark):
     records = op.archived(pages(spark, []))
     assert op.audit(*op.trees(op.digested(records), op.digested(records))).count() == 0
+
+
+def test_query_is_the_audit_of_its_replicas(spark):
+    from docketflow.llm.registry import QUERIES, table
+
+    sf = "/root/testdata/sf0.001"
+    records = op.stored(op.archived(table(spark, sf, "pages")))
+    got = {(r["archive"], r["offset"], r["page_id"], r["status"]) for r in QUERIES["op6_warc_fixity"](spark, sf).collect()}
+    want = {(r["archive"], r["offset"], r["page_id"], r["status"]) for r in op.audit(*op.trees(op.digested(records), op.digested(op.aged(records)))).collect()}
+    assert got == want

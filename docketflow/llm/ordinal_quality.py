@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from docketflow.llm.registry import query, table
 from docketflow.llm.rows import key_filter, may_hold
+from docketflow.session import stored
 
 #: Most rated rows that the model is fitted on, the lowest by hash.
 MAX_RATED = 20_000
@@ -92,31 +93,27 @@ class OrdinalModel:
         return self.grades[0] + sum(p * (b - a) for p, a, b in zip(tails, self.grades, self.grades[1:]))
 
 
-def screened(buckets: list[np.ndarray], levels: np.ndarray, count: int) -> np.ndarray:
-    """The buckets whose presence differs most between the grades, by chi-square."""
-    sizes = np.bincount(levels, minlength=count).astype(float)
-    flat = np.concatenate(buckets) if buckets else np.zeros(0, np.int64)
-    owners = np.repeat(levels, [len(b) for b in buckets])
-    found, place = np.unique(flat, return_inverse=True)
-    seen = np.zeros((len(found), count))
-    np.add.at(seen, (place, owners), 1.0)
-    total = seen.sum(axis=1, keepdims=True)
-    share = sizes / sizes.sum()
-    wanted = total * share
-    spread = np.maximum(wanted * (1 - total / sizes.sum()), 1e-9)
-    chi = ((seen - wanted) ** 2 / spread).sum(axis=1)
-    strong = np.flatnonzero((chi >= max(MIN_CHI, MIN_EFFECT * len(levels))) & (total[:, 0] >= 5))
-    return np.sort(found[strong[np.argsort(-chi[strong], kind="stable")[:MAX_FEATURES]]])
-
-
-def fit(rows: list[tuple[int, np.ndarray]]) -> OrdinalModel | None:
-    """The model of (grade, buckets) rows; none where all have one grade."""
+def screened(sample: DataFrame, sizes: dict[int, int]) -> list[int]:
+    """The buckets whose presence differs most between the grades, by chi-square, at most ``MAX_FEATURES``."""
+    rows = sum(sizes.values())
+    seen = [F.count_if(F.col("grade") == g).cast("double").alias(f"seen_{g}") for g in sizes]
+    counts = sample.select("grade", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("total"), *seen)
+    chi = F.lit(0.0)
+    for grade, size in sizes.items():
+        wanted = F.col("total") * (size / rows)
+        chi = chi + F.pow(F.col(f"seen_{grade}") - wanted, 2) / F.greatest(wanted * (1 - F.col("total") / rows), F.lit(1e-9))
+    strong = counts.select("bucket", "total", chi.alias("chi")).where((F.col("chi") >= max(MIN_CHI, MIN_EFFECT * rows)) & (F.col("total") >= 5))
+    return sorted(r["bucket"] for r in strong.orderBy(F.desc("chi"), "bucket").limit(MAX_FEATURES).collect())
+
+
+def fit(rows: list[tuple[int, np.ndarray]], buckets: list[int]) -> OrdinalModel | None:
+    """The model of (grade, buckets) rows over the given buckets; none where all have one grade."""
     grades = sorted({g for g, _ in rows})
     if len(grades) < 2:
         return None
     count = len(grades)
     levels = np.array([grades.index(g) for g, _ in rows])
-    kept = screened([b for _, b in rows], levels, count)
+    kept = np.array(buckets, np.int64)
     columns, owners = [], []
     for n, (_, b) in enumerate(rows):
         at = np.searchsorted(kept, b[np.isin(b, kept)])
@@ -156,10 +153,20 @@ def fit(rows: list[tuple[int, np.ndarray]]) -> OrdinalModel | None:
 
 def trained(docs: DataFrame, ratings: DataFrame, id_column: str = "doc_id", text: str = "text", most: int = MAX_RATED) -> OrdinalModel | None:
     """The model of ``ratings`` (doc_id, grade) on the texts of ``docs``."""
-    found = rated_sample(docs, ratings, id_column, text, most).select("grade", "buckets").toArrow()
-    lists = found.column("buckets").combine_chunks()
-    grades = found.column("grade").to_pylist()
-    return fit([(g, np.asarray(lists[n].values, np.int64)) for n, g in enumerate(grades)])
+    sample = stored(rated_sample(docs, ratings, id_column, text, most).select("grade", "buckets"))
+    sizes = {r["grade"]: r["n"] for r in sample.groupBy("grade").agg(F.count("*").alias("n")).orderBy("grade").collect()}
+    if len(sizes) < 2:
+        return None
+    kept = screened(sample, sizes)
+
+    @F.pandas_udf("array<int>")
+    def of_kept(lists: pd.Series) -> pd.Series:
+        wanted = set(kept)
+        return pd.Series([[b for b in each if b in wanted] for each in lists])
+
+    # The driver gets the few screened features of each sampled row, not its words.
+    found = sample.select("grade", of_kept("buckets").alias("buckets")).collect()
+    return fit([(r["grade"], np.asarray(r["buckets"], np.int64)) for r in found], kept)
 
 
 def graded(docs: DataFrame, model: OrdinalModel | None, text: str = "text", keep: float = KEEP) -> DataFrame:

@@ -29,7 +29,7 @@ def test_gradient_fits_known_weights():
         on = random.random(6) < 0.4
         score = on @ np.array([2.0, -2.0, 0, 0, 0, 0]) + random.logistic()
         rows.append((int(score > -1) + int(score > 1), np.flatnonzero(on).astype(np.int64)))
-    model = op.fit(rows)
+    model = op.fit(rows, list(range(6)))
     assert abs(model.weights[0] - 2) < 0.35 and abs(model.weights[1] + 2) < 0.35
     assert abs(model.thresholds[0] + 1) < 0.3 and abs(model.thresholds[1] - 1) < 0.3
 

@@ -16,14 +16,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docketflow.llm.registry import query, table
 from docketflow.llm.rows import keyed
 from docketflow.session import stored
 
 MIN_WORDS = 50
+#: Rows whose runs a worker holds at once.
+ROWS = 256
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -77,17 +81,26 @@ def shortest_runs(lines: np.ndarray, words: np.ndarray, least: int) -> list[tupl
 def windows_of(active: DataFrame, least: int) -> DataFrame:
     """(row_key, doc_id, start, size) of the runs to look up; a row's lines are a part of one text."""
 
-    @F.pandas_udf("array<struct<start: int, size: int>>")
-    def run(places: pd.Series) -> pd.Series:
-        out = []
-        for each in places:
-            ordered = sorted((p["line"], p["n_words"]) for p in each)
-            pair = np.array(ordered, np.int64).reshape(-1, 2)
-            out.append([{"start": s, "size": n} for s, n in shortest_runs(pair[:, 0], pair[:, 1], least)])
-        return pd.Series(out)
+    schema = T.StructType([
+        active.schema["row_key"], active.schema["doc_id"], T.StructField("start", T.IntegerType()), T.StructField("size", T.IntegerType()),
+    ])
 
-    grouped = active.groupBy("row_key").agg(F.min("doc_id").alias("doc_id"), F.collect_list(F.struct("line", "n_words")).alias("places"))
-    return grouped.select("row_key", "doc_id", F.explode(run("places")).alias("w")).select("row_key", "doc_id", "w.start", "w.size")
+    def run(batches):
+        for batch in batches:
+            places, words = batch.column(2), batch.column(3)
+            for first in range(0, batch.num_rows, ROWS):
+                at, found = [], []
+                for n in range(first, min(first + ROWS, batch.num_rows)):
+                    runs = shortest_runs(places[n].values.to_numpy().astype(np.int64), words[n].values.to_numpy().astype(np.int64), least)
+                    at += [n] * len(runs)
+                    found += runs
+                pairs = np.array(found, np.int32).reshape(-1, 2)
+                taken = [batch.column(k).take(pa.array(at, pa.int64())) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*taken, pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema.names)
+
+    grouped = active.groupBy("row_key").agg(F.min("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("line", "n_words"))).alias("places"))
+    plain = grouped.select("row_key", "doc_id", F.col("places.line").alias("lines"), F.col("places.n_words").alias("words"))
+    return plain.mapInArrow(run, schema)
 
 
 def later_copies(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -115,17 +128,17 @@ def later_copies(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return met.where((F.col("row_key") != F.col("first.row_key")) | (F.col("start") != F.col("first.start"))).select("row_key", "start", "size")
 
 
-def _cut(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
+def _cut(texts: pd.Series, starts: pd.Series, sizes: pd.Series) -> pd.DataFrame:
     out = []
-    for value, spans in zip(texts, runs):
+    for value, first, size in zip(texts, starts, sizes):
         if value is None:
             out.append((0, 0, "", None))
             continue
         lines = value.split("\n")
         gone = np.zeros(len(lines) + 1, np.int64)
-        for s in spans if spans is not None else ():
-            gone[s["start"]] += 1
-            gone[s["start"] + s["size"]] -= 1
+        if first is not None:
+            np.add.at(gone, first, 1)
+            np.add.at(gone, first + size, -1)
         gone = gone.cumsum()[:-1] > 0
         edges = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]])))
         ranges = ",".join(f"{a}-{b}" for a, b in zip(edges[::2], edges[1::2]))
@@ -145,7 +158,7 @@ def without_later_copies(docs: DataFrame, id_column: str = "doc_id", text: str =
     rows = keyed(docs, key)
     plain = rows.select(F.col(key).alias("row_key"), F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
     runs = later_copies(plain, min_words).groupBy(F.col("row_key").alias(key)).agg(F.collect_list(F.struct("start", "size")).alias("_runs"))
-    return rows.join(runs, key, "left").withColumn(out, cut(F.col(text), F.col("_runs"))).drop(key, "_runs")
+    return rows.join(runs, key, "left").withColumn(out, cut(F.col(text), F.col("_runs.start"), F.col("_runs.size"))).drop(key, "_runs")
 
 
 @query("op7_line_runs")

@@ -19,8 +19,7 @@ from docketflow.operators.steps import computed_once
 from docketflow.session import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
-SPACES = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = r"[#*$%&|<>]"
 #: Buckets of each n-gram order; they bound the table of ratios.
 BUCKETS = 1 << 17
 PRIOR = 2.0
@@ -41,21 +40,36 @@ def forms_of(text: Column) -> Column:
     return F.regexp_replace(out, r"\p{N}+", "0")
 
 
-def buckets_of(text: Column, buckets: int = BUCKETS) -> Column:
-    """The bucket of every n-gram: words below ``buckets``, pairs of forms from there on."""
+def hashes_of(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def neighbours(values: Column, step: int, of) -> Column:
+    """``of`` each value and the one ``step`` places on."""
+    size = F.greatest(F.size(values) - step, F.lit(0))
+    return F.zip_with(F.slice(values, 1, size), F.slice(values, 1 + step, size), of)
+
 
-    def pairs(words: Column, forms: Column) -> Column:
-        def one(form: Column, i: Column) -> Column:
-            same = F.get(words, i) == F.get(words, i + 1)
-            return (F.pmod(F.xxhash64(form, F.get(forms, i + 1), same), F.lit(buckets)) + buckets).cast("int")
+def grams_of(words: Column, text: Column, buckets: int = BUCKETS) -> Column:
+    """The bucket of every n-gram: words below ``buckets``, a power of two, and pairs of forms from there on."""
+    mask = F.lit(buckets - 1).cast("long")
 
-        return F.transform(F.slice(forms, 1, F.greatest(F.size(forms) - 1, F.lit(0))), one)
+    def pairs(hashes: Column, forms: Column) -> Column:
+        both = neighbours(forms, 1, lambda a, b: F.xxhash64(a, b))
+        same = neighbours(hashes, 1, lambda a, b: a == b)
+        mixed = F.zip_with(both, same, lambda p, s: F.when(s, F.bitwise_not(p)).otherwise(p))
+        return F.transform(mixed, lambda p: (p.bitwiseAND(mask) + buckets).cast("int"))
 
-    def all_of(words: Column) -> Column:
-        single = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
-        return F.concat(single, bound(words_of(forms_of(text)), lambda forms: pairs(words, forms)))
+    def all_of(hashes: Column) -> Column:
+        single = F.transform(hashes, lambda w: w.bitwiseAND(mask).cast("int"))
+        return F.concat(single, bound(hashes_of(words_of(forms_of(text))), lambda forms: pairs(hashes, forms)))
 
-    return bound(words_of(text), all_of)
+    return bound(hashes_of(words), all_of)
+
+
+def buckets_of(text: Column, buckets: int = BUCKETS) -> Column:
+    """The buckets of a text's n-grams."""
+    return grams_of(words_of(text), text, buckets)
 
 
 def log_ratios(raw: DataFrame, target: DataFrame, text: str = "text", buckets: int = BUCKETS, prior: float = PRIOR) -> Column:
@@ -79,17 +93,25 @@ def log_ratios(raw: DataFrame, target: DataFrame, text: str = "text", buckets: i
     return rated.agg(F.transform(rows, lambda r: r["v"]).alias("ratios")).scalar()
 
 
-def score(text: Column, ratios: Column, buckets: int = BUCKETS) -> Column:
+def score(words: Column, text: Column, ratios: Column, buckets: int = BUCKETS) -> Column:
     """Mean log ratio of the text's n-grams; zero without any."""
     def mean(found: Column) -> Column:
         total = F.aggregate(found, F.lit(0.0), lambda acc, b: acc + F.element_at(ratios, b + 1))
         return F.when(F.size(found) > 0, total / F.size(found)).otherwise(F.lit(0.0))
 
-    return bound(buckets_of(text, buckets), mean)
+    return bound(grams_of(words, text, buckets), mean)
+
+
+def joined(hashes: Column, step: int) -> Column:
+    """Hashes of twice as many words from hashes of ``step`` words."""
+    return bound(hashes, lambda h: neighbours(h, step, lambda a, b: F.xxhash64(a, b)))
 
 
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
-    """Words inside windows that occur twice or more in the list, first occurrences included."""
+    """Words inside windows that occur twice or more in the list, first occurrences included.
+
+    ``window`` is a power of two.
+    """
     none = F.lit(0).cast("long")
 
     def covered(starts: Column) -> Column:
@@ -117,23 +139,21 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
     def exact() -> Column:
         return bound(F.array_sort(windows(lambda w: F.array_join(w, " "))), lambda o: bound(starts_of(o), covered))
 
-    hashed = F.transform(F.sequence(F.lit(0), F.size(words) - window), lambda i: F.xxhash64(F.slice(words, i + 1, window)))
+    def hashed() -> Column:
+        out, step = hashes_of(words), 1
+        while step < window:
+            out, step = joined(out, step), 2 * step
+        return out
+
     # Equal windows have equal hashes, so only rows with an equal hash are looked at in full.
-    some = bound(hashed, lambda h: F.size(F.array_distinct(h)) < F.size(h))
+    some = bound(hashed(), lambda h: F.size(F.array_distinct(h)) < F.size(h))
     return F.when(F.size(words) < window, none).when(some, exact()).otherwise(none)
 
 
-def base_columns(text: Column) -> dict[str, Column]:
-    """Counts of a non-null text by plain rules."""
-    def word_lines(lines: Column) -> Column:
-        return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
-
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-    return {
-        "word_chars": F.length(F.translate(text, SPACES, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-        "n_dup_lines": bound(lines, word_lines),
-    }
+def duplicate_lines(text: Column) -> Column:
+    """Lines with a word that equal an earlier line."""
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
+    return bound(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
 
 
 def judged(docs: DataFrame, target: DataFrame, id_column: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -144,18 +164,22 @@ def judged(docs: DataFrame, target: DataFrame, id_column: str = "doc_id", text:
     """
     ratios = log_ratios(docs, target, text)
     source = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rule = bound(words_of(F.col("text")), lambda w: F.struct(
-        F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words")
-    ))
+    # The words are taken once for all rules and the score.
+    def rules(words: Column) -> Column:
+        return F.struct(
+            F.size(words).cast("long").alias("n_words"), F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+            repeated_words(words).alias("n_repeat_words"), score(words, F.col("text"), F.col("ratios")).alias("score"),
+        )
+
     # The ratios are one value of fixed size, named once so that the optimizer puts it into the expression.
     out = computed_once(source.withColumn("ratios", ratios).select(
-        "doc_id", rule.alias("w"), *[c.alias(n) for n, c in base_columns(F.col("text")).items()],
-        score(F.col("text"), F.col("ratios")).alias("score"),
+        "doc_id", bound(words_of(F.col("text")), rules).alias("w"), F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        duplicate_lines(F.col("text")).alias("n_dup_lines"),
     ))
     failed = (F.col("w.n_words") < MIN_WORDS) | (100 * F.col("w.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("w.n_words"))
     return out.select(
-        "doc_id", "w.n_words", "word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words", failed.alias("base_failed"),
-        (~failed & (F.col("score") >= threshold)).alias("kept"), F.round("score", 9).alias("score"),
+        "doc_id", "w.n_words", "w.word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words", failed.alias("base_failed"),
+        (~failed & (F.col("w.score") >= threshold)).alias("kept"), F.round("w.score", 9).alias("score"),
     )
 
 
@@ -163,7 +187,8 @@ def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows labelled good and not toxic; a label repeated with another verdict counts as not good."""
     good = stored(labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 AND t = 0").select("doc_id"))
     near = docs.where(F.col("doc_id").isNotNull() & may_hold(key_filter(good, "doc_id"), F.col("doc_id")))
-    return near.join(good, "doc_id", "left_semi")
+    # Labels grow with the corpus: a merge join at every size.
+    return near.join(good.hint("merge"), "doc_id", "left_semi")
 
 
 @query("op10_ngram_ratio")

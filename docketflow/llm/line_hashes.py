@@ -18,7 +18,7 @@ from docketflow.llm.registry import query, table
 from docketflow.llm.rows import keyed
 from docketflow.session import stored
 
-#: Words that a unit needs; shorter lines repeat by chance or as boilerplate of a site.
+#: Words that a unit needs where a caller names no other bar; the query takes every unit with a word.
 MIN_WORDS = 20
 SEPARATORS = {"line": "\n", "paragraph": "\n\n"}
 
@@ -112,5 +112,5 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
 
 @query("op9_line_hashes")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every repeated line of all documents with its offsets and the document that keeps it; tested against a plain version."""
-    return find_repeats(table(spark, sf_dir, "documents"))[1].drop("row_key")
+    """Every repeated non-empty line of all documents with its offsets and the document that keeps it; tested against a plain version."""
+    return find_repeats(table(spark, sf_dir, "documents"), min_words=1)[1].drop("row_key")

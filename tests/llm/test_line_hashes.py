@@ -70,3 +70,14 @@ def test_paragraphs(spark):
 
 def test_empty(spark):
     assert op.find_repeats(documents(spark, [], 1))[1].count() == 0
+
+
+def test_query_finds_short_lines(spark, tmp_path):
+    """Every repeated non-empty line, also those of a passage of short lines only."""
+    passage = "\n".join(f"wrapped line {n} of a passage" for n in range(12))
+    rows = [*corpus(), (900, f"{passage}\n\nown end"), (901, f"own start\n{passage}"), (902, "Menu\n \nmenu\n\nHOME")]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = op.op9(spark, str(tmp_path)).collect()
+    found = sorted(((r["doc_id"], r["start"], r["end"], r["kept_doc_id"], r["kept_start"]) for r in got), key=str)
+    assert found == plain(rows, least=1) and len(found) > len(plain(rows))
+    assert sum(i == 901 for i, *_ in found) == 12 and (902, 7, 11, 902, 0) in found

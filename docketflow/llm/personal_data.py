@@ -3,10 +3,12 @@
 Base spans follow fixed patterns and checks. Beside them, high-recall generators propose
 overlapping candidates of each kind. Gradient-boosted trees rate a candidate by its format and
 the signs around it. There are no labelled spans, so the trees learn which candidates
-meet a base span of their kind, without seeing what the base rule itself decides by (the leading plus, the
-checksum). A held-out third of the sample sets each kind's threshold at a wanted precision; a kind
-that does not reach it gets no added spans. The trees become one SQL expression, so texts are scored
-where they lie.
+meet a base span of their kind, without seeing what the base rule itself decides by (plus sign and country
+code, checksum, the spelling of @ and dots). A candidate that meets none is unlabelled, not false: base misses true ones.
+False for sure are those that fail the check of their kind or lie on a base span of another kind. A held-out
+third of the sample tells how often true candidates meet base, and sets each kind's threshold at a wanted
+precision in proportion to that; a kind that does not reach it gets no added spans. The trees become one SQL
+expression, so texts are scored where they lie.
 """
 
 from __future__ import annotations
@@ -44,6 +46,8 @@ KEYWORDS = {"email": "mail|contact", "ip": "host|addr|server|ip", "card": "card|
 MAX_SAMPLE = 20_000
 TREES, DEPTH = 8, 3
 PRECISION = 0.97
+#: Share of a form's candidates that must meet base before the form can be believed; below it nothing tells true ones from false.
+MIN_MET = 0.5
 #: Held-out candidates above the threshold that a kind needs before it may add spans.
 MIN_HELD = 20
 
@@ -63,6 +67,17 @@ def is_valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def plain_form(kind: str, match: Column) -> Column:
+    """The match without what base decides by: signs that stand for others, a phone's plus and its country or trunk code."""
+    if kind == "email":
+        return F.regexp_replace(F.regexp_replace(match, r"\x20?[(\[]at[)\]]\x20?", "@"), r"\x20?[(\[]dot[)\]]\x20?", ".")
+    if kind == "ip":
+        return F.translate(match, ",:", "..")
+    if kind == "card":
+        return F.translate(match, " .", "--")
+    return F.regexp_replace(match, r"^(?:\+[0-9]{1,3}(?=[\x20(.-])[\x20.-]?|\+|00[0-9]{1,3}[\x20.-]|1[\x20.-](?=[(0-9])|0(?=[1-9]))", "")
+
+
 def found_spans(text: Column, kind: str, pattern: str, checked: bool) -> Column:
     """Matches in order as (k, s, e, m): the kind's number, code points from and to, and the match.
 
@@ -91,16 +106,28 @@ def found_spans(text: Column, kind: str, pattern: str, checked: bool) -> Column:
 
 
 def with_spans(docs: DataFrame, id_column: str, text: str) -> DataFrame:
-    """doc_id, text, base spans and candidates of every row; a null text is empty."""
+    """doc_id, text, base spans and candidates of every row; a null text is empty.
+
+    A candidate has its plain form as ``f``, and as ``ok`` whether it passes the check of its kind.
+    """
     source = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     base = F.concat(*[found_spans(F.col("text"), k, BASE[k], True) for k in KINDS])
-    loose = F.concat(*[found_spans(F.col("text"), k, GENERATORS[k], False) for k in KINDS])
+
+    def candidates(kind: str) -> Column:
+        def one(c: Column) -> Column:
+            form = plain_form(kind, c["m"])
+            checked = is_valid(kind, c["m"] if kind == "phone" else form)
+            return F.struct(c["k"].alias("k"), c["s"].alias("s"), c["e"].alias("e"), c["m"].alias("m"), form.alias("f"), checked.alias("ok"))
+
+        return F.transform(found_spans(F.col("text"), kind, GENERATORS[kind], False), one)
+
+    loose = F.concat(*[candidates(k) for k in KINDS])
     return computed_once(source.select("doc_id", "text", base.alias("base"), loose.alias("loose")))
 
 
 def features(text: Column, span: Column) -> dict[str, Column]:
-    """Format of the candidate and signs around it."""
-    match, left = span["m"], F.lower(F.substring(text, F.greatest(span["s"] - CONTEXT, F.lit(0)) + 1, F.least(span["s"], F.lit(CONTEXT))))
+    """Format of the candidate's plain form and signs around it."""
+    match, left = span["f"], F.lower(F.substring(text, F.greatest(span["s"] - CONTEXT, F.lit(0)) + 1, F.least(span["s"], F.lit(CONTEXT))))
     before, after = F.substring(left, -1, 1), F.substring(text, span["e"] + 1, 1)
 
     def number(value: Column) -> Column:
@@ -128,11 +155,17 @@ def overlaps(a: Column, b: Column) -> Column:
 
 
 def sample_of(spans: DataFrame, most: int = MAX_SAMPLE) -> DataFrame:
-    """At most ``most`` different candidates with features and weak label, the lowest by hash; ``held`` marks a third."""
+    """At most ``most`` different candidates with features and weak label, the lowest by hash; ``held`` marks a third.
+
+    The label is 1 where the candidate meets a base span of its kind, 0 where it is false for sure, and null
+    where nothing is known.
+    """
     picked = spans.where(F.size("loose") > 0).select("text", "base", F.explode("loose").alias("c"))
     rank = F.xxhash64(F.col("c.m"), F.substring("text", 1, 200), F.col("c.s"))
-    label = F.exists("base", lambda b: (b["k"] == F.col("c.k")) & overlaps(b, F.col("c")))
-    rows = picked.select(rank.alias("rank"), label.cast("double").alias("label"), *[c.alias(n) for n, c in features(F.col("text"), F.col("c")).items()])
+    met = F.exists("base", lambda b: (b["k"] == F.col("c.k")) & overlaps(b, F.col("c")))
+    false = ~F.col("c.ok") | F.exists("base", lambda b: overlaps(b, F.col("c")))
+    label = F.when(met, 1.0).when(false, 0.0)
+    rows = picked.select(rank.alias("rank"), label.alias("label"), *[c.alias(n) for n, c in features(F.col("text"), F.col("c")).items()])
     return rows.distinct().orderBy("rank", *FEATURES, "label").limit(most).withColumn("held", F.pmod("rank", F.lit(3)) == 0)
 
 
@@ -156,33 +189,48 @@ class Trees:
         return sum((_tree(r, values) * w for r, w in zip(self.roots, self.weights)), F.lit(0.0))
 
 
+def cuts_of(rated, precision: float) -> dict[int, float]:
+    """The margin each kind's candidates need, of rows (k, v, good, open, n): met, unlabelled and all candidates of a margin.
+
+    True candidates meet base in a share that is taken from the margins where those lie that do meet it. So
+    many of the candidates from a threshold on must have met base, times the precision.
+    """
+    kinds: dict[int, list] = {}
+    for row in sorted(rated, key=lambda r: (r["k"], -r["v"])):
+        kinds.setdefault(row["k"], []).append(row)
+    cuts: dict[int, float] = {}
+    for kind, rows in kinds.items():
+        met = sum(r["good"] for r in rows)
+        if not met:
+            continue
+        share = max(MIN_MET, sum(r["good"] ** 2 / (r["good"] + r["open"]) for r in rows if r["good"]) / met)
+        good, total = 0.0, 0
+        for row in rows:
+            good, total = good + row["good"], total + row["n"]
+            if total >= MIN_HELD and good >= precision * share * total and row["good"] >= MIN_MET * row["n"]:
+                cuts[kind] = row["v"]
+    return cuts
+
+
 def fit(spans: DataFrame, precision: float = PRECISION) -> tuple[Trees | None, dict[int, float]]:
     """Trees and the margin each kind's candidates need; no trees where the sample has one class only."""
     sample = stored(sample_of(spans))
-    fitted = sample.where("NOT held")
+    fitted = sample.where("NOT held").withColumn("label", F.coalesce("label", F.lit(0.0)))
     if fitted.select("label").distinct().count() < 2:
         return None, {}
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(fitted).select("features", "label")
     trees = Trees(GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7).fit(ready))
     margin = trees.margin(F.struct(*FEATURES))
     rated = sample.where("held").select(F.col("kind").cast("int").alias("k"), margin.alias("v"), "label").groupBy("k", "v").agg(
-        F.sum("label").alias("good"), F.count("*").alias("n")).orderBy("k", F.desc("v")).collect()
-    cuts: dict[int, float] = {}
-    good, total, at = 0.0, 0, None
-    for row in rated:
-        if row["k"] != at:
-            good, total, at = 0.0, 0, row["k"]
-        good, total = good + row["good"], total + row["n"]
-        if total >= MIN_HELD and good >= precision * total:
-            cuts[at] = row["v"]
-    return trees, cuts
+        F.count_if(F.col("label") == 1).alias("good"), F.count_if(F.col("label").isNull()).alias("open"), F.count("*").alias("n"))
+    return trees, cuts_of(rated.collect(), precision)
 
 
 def personal_data(docs: DataFrame, id_column: str = "doc_id", text: str = "text", precision: float = PRECISION) -> DataFrame:
     """Every row with its base spans and all spans that go.
 
     Null and empty texts have none. Repeated rows get equal results. A candidate that meets a base
-    span adds nothing, so a base span is never moved. Without examples of both classes, or where no threshold
+    span adds nothing, so a base span is never moved, and one that fails the check of its kind is not added. Without examples of both classes, or where no threshold
     reaches the precision, only base spans are given.
     """
     spans = with_spans(docs, id_column, text)
@@ -195,7 +243,7 @@ def personal_data(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
             for kind, value in cuts.items():
                 cut = F.when(span["k"] == kind, F.lit(value)).otherwise(cut)
             values = F.struct(*[c.alias(n) for n, c in features(F.col("text"), span).items()])
-            return free & F.coalesce(bound(values, trees.margin) >= cut, F.lit(False))
+            return free & span["ok"] & F.coalesce(bound(values, trees.margin) >= cut, F.lit(False))
 
         kept = F.filter("loose", chosen)
         added = F.when(F.size("loose") > 0, F.transform(kept, lambda c: F.struct(c["k"].alias("k"), c["s"].alias("s"), c["e"].alias("e")))).otherwise(added)

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import pytest
 from fixtures import awkward, documents, with_clashes
 
 from docketflow.llm import personal_data as op
@@ -92,3 +93,31 @@ def test_redaction(spark):
 
 def test_empty(spark):
     assert op.personal_data(documents(spark, [], 1)).count() == 0
+
+
+def planted(missed, n=1500):
+    """Texts with a phone, an email and a number of another form; ``missed`` of the phones and emails are outside base."""
+    random.seed(9)
+    rows, want = [], {}
+    for i in range(n):
+        out_phone, out_email = random.random() < missed, random.random() < missed
+        phone = f"({random.randrange(200, 999)}) {random.randrange(200, 999)}-{random.randrange(1000, 9999)}"
+        phone = phone if out_phone else f"+1 {phone}"
+        user, host = f"user{i}", random.choice(["example", "mail-host", "post"])
+        email = f"{user} (at) {host} (dot) org" if out_email else f"{user}@{host}.org"
+        text = f"please call {phone} today or write to {email} about part {random.randrange(10, 99)}-{random.randrange(1000, 9999)}-{random.randrange(100, 999)} thanks"
+        rows.append((i, text))
+        want[i] = {f"{kind}:{text.index(x)}:{text.index(x) + len(x)}" for kind, x, out in (("phone", phone, out_phone), ("email", email, out_email)) if out}
+    return rows, want
+
+
+@pytest.mark.parametrize("missed", [0.1, 0.3])
+def test_spans_that_base_misses_are_added(spark, missed):
+    rows, want = planted(missed)
+    hits = extra = 0
+    for r in op.personal_data(documents(spark, rows)).collect():
+        added = set(r["spans"].split(",")) - set(plain(r["text"]))
+        hits, extra = hits + len(added & want[r["doc_id"]]), extra + len(added - want[r["doc_id"]])
+    total = sum(map(len, want.values()))
+    print(f"missed {missed}: added {hits} of {total}, others {extra}")
+    assert hits >= 0.95 * total and extra <= 0.03 * hits

@@ -6,13 +6,15 @@ the signs around it. There are no labelled spans, so the trees learn which candi
 meet a base span of their kind, without seeing what the base rule itself decides by (plus sign and country
 code, checksum, the spelling of @ and dots). A candidate that meets none is unlabelled, not false: base misses true ones.
 False for sure are those that fail the check of their kind or lie on a base span of another kind. A held-out
-third of the sample tells how often true candidates meet base, and sets each kind's threshold at a wanted
+third of all candidates tells how often true candidates meet base, and sets each kind's threshold at a wanted
 precision in proportion to that; a kind that does not reach it gets no added spans. The trees become one SQL
 expression, so texts are scored where they lie.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,12 +44,14 @@ NEEDS = {"email": r"@|[(\[]at[)\]]", "ip": "[0-9]", "card": "[0-9]", "phone": "[
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 CONTEXT = 24
 KEYWORDS = {"email": "mail|contact", "ip": "host|addr|server|ip", "card": "card|credit|visa|pay", "phone": "phone|tel|call|fax|mobil"}
-#: Most candidates that the trees are fitted and their thresholds set on, the lowest by hash.
+#: Most candidates of each kind that the trees are fitted on, the lowest by hash; thresholds are set on all that are held out.
 MAX_SAMPLE = 20_000
 TREES, DEPTH = 8, 3
 PRECISION = 0.97
 #: Share of a form's candidates that must meet base before the form can be believed; below it nothing tells true ones from false.
 MIN_MET = 0.5
+#: Standard deviations by which a count may fall short of a share by chance.
+NOISE = 2.0
 #: Held-out candidates above the threshold that a kind needs before it may add spans.
 MIN_HELD = 20
 
@@ -154,8 +158,8 @@ def overlaps(a: Column, b: Column) -> Column:
     return (a["s"] < b["e"]) & (b["s"] < a["e"])
 
 
-def sample_of(spans: DataFrame, most: int = MAX_SAMPLE) -> DataFrame:
-    """At most ``most`` different candidates with features and weak label, the lowest by hash; ``held`` marks a third.
+def rated_candidates(spans: DataFrame) -> DataFrame:
+    """All different candidates with features and weak label; ``held`` marks a third of them by hash.
 
     The label is 1 where the candidate meets a base span of its kind, 0 where it is false for sure, and null
     where nothing is known.
@@ -166,7 +170,14 @@ def sample_of(spans: DataFrame, most: int = MAX_SAMPLE) -> DataFrame:
     false = ~F.col("c.ok") | F.exists("base", lambda b: overlaps(b, F.col("c")))
     label = F.when(met, 1.0).when(false, 0.0)
     rows = picked.select(rank.alias("rank"), label.alias("label"), *[c.alias(n) for n, c in features(F.col("text"), F.col("c")).items()])
-    return rows.distinct().orderBy("rank", *FEATURES, "label").limit(most).withColumn("held", F.pmod("rank", F.lit(3)) == 0)
+    return rows.distinct().withColumn("held", F.pmod("rank", F.lit(3)) == 0)
+
+
+def sample_of(candidates: DataFrame, most: int = MAX_SAMPLE) -> DataFrame:
+    """Of each kind at most ``most`` candidates that are not held out, the lowest by hash, so that no kind crowds out another."""
+    free = candidates.where("NOT held")
+    parts = [free.where(F.col("kind") == k).orderBy("rank", *FEATURES, "label").limit(most) for k in range(len(KINDS))]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _tree(node, values: Column) -> Column:
@@ -189,6 +200,11 @@ class Trees:
         return sum((_tree(r, values) * w for r, w in zip(self.roots, self.weights)), F.lit(0.0))
 
 
+def enough(good: float, total: int, share: float, precision: float = 1.0) -> bool:
+    """Whether ``good`` of ``total`` reach the share by the precision, but for chance; a share of 1 leaves nothing to chance."""
+    return good >= precision * share * total - NOISE * (total * share * (1 - share)) ** 0.5
+
+
 def cuts_of(rated, precision: float) -> dict[int, float]:
     """The margin each kind's candidates need, of rows (k, v, good, open, n): met, unlabelled and all candidates of a margin.
 
@@ -200,28 +216,31 @@ def cuts_of(rated, precision: float) -> dict[int, float]:
         kinds.setdefault(row["k"], []).append(row)
     cuts: dict[int, float] = {}
     for kind, rows in kinds.items():
-        met = sum(r["good"] for r in rows)
+        # The share among the others of its margin, for each that met base: one alone says nothing.
+        many = [(r["good"], r["good"] + r["open"]) for r in rows if r["good"] + r["open"] > 1]
+        met = sum(g for g, _ in many)
         if not met:
             continue
-        share = max(MIN_MET, sum(r["good"] ** 2 / (r["good"] + r["open"]) for r in rows if r["good"]) / met)
+        share = max(MIN_MET, sum(g * (g - 1) / (n - 1) for g, n in many) / met)
         good, total = 0.0, 0
         for row in rows:
             good, total = good + row["good"], total + row["n"]
-            if total >= MIN_HELD and good >= precision * share * total and row["good"] >= MIN_MET * row["n"]:
+            if total >= MIN_HELD and enough(good, total, share, precision) and enough(row["good"], row["n"], MIN_MET):
                 cuts[kind] = row["v"]
     return cuts
 
 
 def fit(spans: DataFrame, precision: float = PRECISION) -> tuple[Trees | None, dict[int, float]]:
     """Trees and the margin each kind's candidates need; no trees where the sample has one class only."""
-    sample = stored(sample_of(spans))
-    fitted = sample.where("NOT held").withColumn("label", F.coalesce("label", F.lit(0.0)))
+    candidates = stored(rated_candidates(spans))
+    fitted = stored(sample_of(candidates).withColumn("label", F.coalesce("label", F.lit(0.0))))
     if fitted.select("label").distinct().count() < 2:
         return None, {}
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(fitted).select("features", "label")
     trees = Trees(GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7).fit(ready))
     margin = trees.margin(F.struct(*FEATURES))
-    rated = sample.where("held").select(F.col("kind").cast("int").alias("k"), margin.alias("v"), "label").groupBy("k", "v").agg(
+    # As many rows as the trees have distinct sums, however many candidates there are.
+    rated = candidates.where("held").select(F.col("kind").cast("int").alias("k"), margin.alias("v"), "label").groupBy("k", "v").agg(
         F.count_if(F.col("label") == 1).alias("good"), F.count_if(F.col("label").isNull()).alias("open"), F.count("*").alias("n"))
     return trees, cuts_of(rated.collect(), precision)
 

@@ -121,3 +121,16 @@ def test_spans_that_base_misses_are_added(spark, missed):
     total = sum(map(len, want.values()))
     print(f"missed {missed}: added {hits} of {total}, others {extra}")
     assert hits >= 0.95 * total and extra <= 0.03 * hits
+
+
+def test_a_rare_kind_keeps_its_spans_beside_a_hot_one(spark):
+    """Number groups of a hot source neither crowd the emails out of the sample nor out of the threshold."""
+    rows, want = planted(0.3, 200)
+    for i in range(300):
+        groups = [f"{random.randrange(10, 99)}-{random.randrange(1000, 9999)}-{random.randrange(100, 999)}" for _ in range(400)]
+        rows.append((10_000 + i, " ; ".join(groups)))
+    got = {r["doc_id"]: set(r["spans"].split(",")) for r in op.personal_data(documents(spark, rows)).where("doc_id < 10000").collect()}
+    for kind in ("email", "phone"):
+        spans = [(i, s) for i, found in want.items() for s in found if s.startswith(kind)]
+        print(f"{kind}: added {sum(s in got[i] for i, s in spans)} of {len(spans)}")
+        assert len(spans) > 40 and sum(s in got[i] for i, s in spans) >= 0.95 * len(spans)

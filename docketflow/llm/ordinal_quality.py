@@ -8,6 +8,7 @@ rated rows; every row of the corpus is scored in parallel.
 
 from __future__ import annotations
 
+import math
 import operator
 import re
 import zlib
@@ -25,8 +26,10 @@ from docketflow.session import stored
 #: Most rated rows that the model is fitted on, the lowest by hash.
 MAX_RATED = 20_000
 BUCKETS = 1 << 20
-#: Chi-square over the grades that a feature needs, at least and for each row, and how many of the strongest are kept.
-MIN_CHI, MIN_EFFECT, MAX_FEATURES = 25.0, 0.05, 8192
+#: Chi-square over the grades that a feature needs at least, and how many of the strongest the driver fits.
+MIN_CHI, MAX_FEATURES = 25.0, 8192
+#: How often chance may lift any of all buckets over the bar.
+CHANCE = 0.01
 ROUNDS, RATE, RIDGE = 500, 0.1, 1e-4
 KEEP = 0.5
 #: Steps that a share of the form is measured in.
@@ -93,6 +96,16 @@ class OrdinalModel:
         return self.grades[0] + sum(p * (b - a) for p, a, b in zip(tails, self.grades, self.grades[1:]))
 
 
+def chi_bar(grades: int) -> float:
+    """Chi-square that chance reaches in one of ``BUCKETS`` features with probability ``CHANCE``, whatever the number of rows."""
+    terms, low, high = grades // 2, 0.0, 1e5
+    while high - low > 1e-6:
+        half = (low + high) / 4
+        tail = sum(np.exp(i * np.log(half) - half - math.lgamma(i + 1)) for i in range(terms))
+        low, high = (2 * half, high) if tail > CHANCE / BUCKETS else (low, 2 * half)
+    return max(MIN_CHI, high)
+
+
 def screened(sample: DataFrame, sizes: dict[int, int]) -> list[int]:
     """The buckets whose presence differs most between the grades, by chi-square, at most ``MAX_FEATURES``."""
     rows = sum(sizes.values())
@@ -102,7 +115,7 @@ def screened(sample: DataFrame, sizes: dict[int, int]) -> list[int]:
     for grade, size in sizes.items():
         wanted = F.col("total") * (size / rows)
         chi = chi + F.pow(F.col(f"seen_{grade}") - wanted, 2) / F.greatest(wanted * (1 - F.col("total") / rows), F.lit(1e-9))
-    strong = counts.select("bucket", "total", chi.alias("chi")).where((F.col("chi") >= max(MIN_CHI, MIN_EFFECT * rows)) & (F.col("total") >= 5))
+    strong = counts.select("bucket", "total", chi.alias("chi")).where((F.col("chi") >= chi_bar(len(sizes))) & (F.col("total") >= 5))
     return sorted(r["bucket"] for r in strong.orderBy(F.desc("chi"), "bucket").limit(MAX_FEATURES).collect())
 
 

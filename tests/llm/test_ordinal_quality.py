@@ -50,3 +50,27 @@ def test_sample_is_bounded_and_texts_count_once(spark):
     rows = op.rated_sample(docs, ratings, "doc_id", "text").collect()
     assert len(rows) == 10
     assert op.rated_sample(docs, ratings, "doc_id", "text", 4).count() <= 4
+
+
+def test_rare_toxic_words_are_learned(spark):
+    """Toxic words that each occur in 1 to 3% of the toxic texts, one or two in a text, judged on held-out texts."""
+    random = np.random.default_rng(3)
+    common, toxic = [f"word{n}" for n in range(400)], [f"slur{n}" for n in range(60)]
+    rows, grades = [], []
+    for n in range(12_000):
+        grade = int(random.choice([0, 2], p=[0.15, 0.85]))
+        words = list(random.choice(common, 30, replace=False))
+        if grade == 0:
+            count = random.integers(1, 3)
+            words[:count] = random.choice(toxic, count, replace=False)
+        random.shuffle(words)
+        rows.append((n, " ".join(words)))
+        grades.append((n, grade))
+    docs = documents(spark, rows)
+    ratings = spark.createDataFrame(grades, "doc_id long, grade int")
+    model = op.trained(docs, ratings.where("doc_id < 9000"))
+    held = op.graded(docs, model).join(ratings.where("doc_id >= 9000"), "doc_id").collect()
+    bad, good = [r for r in held if r["grade"] == 0], [r for r in held if r["grade"] == 2]
+    passed, stayed = sum(r["kept"] for r in bad), sum(r["kept"] for r in good)
+    print(f"toxic kept {passed} of {len(bad)}, good kept {stayed} of {len(good)}")
+    assert passed <= 0.05 * len(bad) and stayed >= 0.97 * len(good)

@@ -37,6 +37,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def load_all() -> None:
     """Import every module that registers queries."""
     from docketflow.llm import (  # noqa: F401
-        anchor_dedup, byte_pairs, decontamination, line_hashes, line_runs, ngram_ratio, ordinal_quality,
-        pattern_packing, personal_data, vector_shards, warc_fixity,
+        anchor_dedup, byte_pairs, decontamination, hard_negatives, line_hashes, line_runs, ngram_ratio, ordinal_quality,
+        pattern_packing, personal_data, spelling_variants, vector_shards, warc_fixity,
     )

@@ -1,95 +1,137 @@
-"""Removal of repeated lines or paragraphs by hashes of normalised units.
+"""Removal of repeated units (lines, paragraphs, sentences or clauses) by hashes of normalised units.
 
-Every unit with enough words is brought to lower case with single spaces and hashed to 128 bits. Of the
-units with one digest the earliest by rank (document id, then place) stays; the others are listed
-with their original offsets and, where wanted, cut out of the texts.
+Every unit with a word is brought to lower case with single spaces and hashed to 128 bits; none is left out. Of the units
+with one digest the earliest by rank (document id, row, place) stays. Repeats that follow each other in a text are a
+run, and a run with enough words is removed: its units are listed with their original offsets and, where wanted, cut
+out of the texts. Short repeats between new units stay, so a line that unrelated texts share harms nobody, while a passage of many short
+lines, or one that begins and ends within a line, goes with all its whole units.
+
+First only half a digest is counted, so that what comes once is never shuffled with its place.
+
+Null and empty texts have no units. Null ids rank last. Repeated rows repeat each other's units; the first written keeps them. Very long texts
+give their units in blocks. An empty table has no repeats. Extra columns, whatever their names, stay as they are.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docketflow.llm.registry import query, table
 from docketflow.llm.rows import keyed
-from docketflow.session import stored
 
-#: Words that a unit needs where a caller names no other bar; the query takes every unit with a word.
+#: Words of a run of repeated units that is removed, where a caller names no other bar.
 MIN_WORDS = 20
-SEPARATORS = {"line": "\n", "paragraph": "\n\n"}
-
-UNITS = T.StructType([
-    T.StructField("row_key", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),
-    T.StructField("n_words", T.IntegerType()), T.StructField("high", T.LongType()), T.StructField("low", T.LongType()),
-])
+#: The query's bar: lower than the 50 words of a passage by what is lost at its two ends.
+PASSAGE_WORDS = 40
+#: What stands between two units.
+SEPARATORS = {
+    "line": r"\n",
+    "paragraph": r"\n\n",
+    "sentence": r"\n|(?<=[.!?])\s+|(?<=[。！？])",
+    "clause": r"\n|(?<=[.!?,;:])\s+|(?<=[。！？，；：])",
+}
+#: Units that a task sends at once.
+BLOCK = 1 << 17
 
 
 def normalised(unit: str) -> list[str]:
     return unit.lower().split()
 
 
-def units_of(rows: DataFrame, text: str = "text", unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """Units of the rows with ``row_key``: code points from and to, words, and digest."""
-    separator = SEPARATORS[unit]
+def spans_of(text: str, separator: re.Pattern):
+    """(start, end, start of the next) of what stands between separators."""
+    start = 0
+    for match in separator.finditer(text):
+        if match.end() > start:
+            yield start, match.start(), match.end()
+            start = match.end()
+    yield start, len(text), len(text)
+
+
+def units_of(rows: DataFrame, unit: str = "line", places: bool = True) -> DataFrame:
+    """Units of the rows (row_key, doc_id, text): first half of the digest and, with ``places``, all that is known of them.
+
+    ``ordinal`` counts the units with a word in a text.
+    """
+    separator = re.compile(SEPARATORS[unit])
+    fields = [T.StructField("high", T.LongType())]
+    if places:
+        fields += [
+            T.StructField("low", T.LongType()), T.StructField("row_key", T.LongType()), T.StructField("doc_id", rows.schema["doc_id"].dataType),
+            *[T.StructField(n, T.LongType()) for n in ("ordinal", "start", "end", "until", "n_words")],
+        ]
+    schema = T.StructType(fields)
+
+    def sent(batch, at, out):
+        numbers = [pa.array(list(c), pa.int64()) for c in zip(*out)]
+        if places:
+            index = pa.array(at)
+            numbers = [*numbers[:2], batch.column(0).take(index), batch.column(1).take(index), *numbers[2:]]
+        return pa.RecordBatch.from_arrays(numbers, schema.names)
 
     def run(batches):
         for batch in batches:
-            out: list[tuple] = []
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text_, start = value.as_py() or "", 0
-                for piece in text_.split(separator):
-                    words = normalised(piece)
-                    if len(words) >= min_words:
-                        digest = hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                        halves = (int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True))
-                        out.append((key, start, start + len(piece), len(words), *halves))
-                    start += len(piece) + len(separator)
+            at, out = [], []
+            for row, value in enumerate(batch.column(2)):
+                text, ordinal = value.as_py() or "", 0
+                for start, end, until in spans_of(text, separator):
+                    words = normalised(text[start:end])
+                    if not words:
+                        continue
+                    digest = hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                    high = int.from_bytes(digest[:8], "little", signed=True)
+                    if places:
+                        at.append(row)
+                        out.append((high, int.from_bytes(digest[8:], "little", signed=True), ordinal, start, end, until, len(words)))
+                    else:
+                        out.append((high,))
+                    ordinal += 1
+                    if len(out) >= BLOCK:
+                        yield sent(batch, at, out)
+                        at, out = [], []
             if out:
-                columns = [pa.array(list(c), pa.int32() if n == 3 else pa.int64()) for n, c in enumerate(zip(*out))]
-                yield pa.RecordBatch.from_arrays(columns, UNITS.names)
+                yield sent(batch, at, out)
 
-    return rows.select("row_key", text).mapInArrow(run, UNITS)
+    return rows.select("row_key", "doc_id", "text").mapInArrow(run, schema)
 
 
-def repeats(units: DataFrame, ranks: DataFrame) -> DataFrame:
-    """Units that repeat an earlier one, with the document and place of the one that stays.
+def repeats(rows: DataFrame, unit: str = "line") -> DataFrame:
+    """All units of the rows (row_key, doc_id, text) that repeat an earlier one, with the place of the one that stays.
 
-    ``ranks`` has (row_key, doc_id). The rank is doc_id with nulls last, then row key and offset, so repeated
-    rows are told apart. Each task sends one first unit for a digest; the copies meet it in a join.
+    ``run_words`` are the words of the run of consecutive repeats that the unit is in.
     """
-    ranked = units.join(ranks, "row_key")
+    twice = units_of(rows, unit, places=False).groupBy("high").count().where("count > 1").select("high")
+    # The join is exact for half a digest; the other half is compared below.
+    known = units_of(rows, unit).join(twice, "high")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "start")
-    firsts = ranked.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = ranked.join(firsts, ["high", "low"])
-    later = met.where((F.col("row_key") != F.col("first.row_key")) | (F.col("start") != F.col("first.start")))
-    return later.select(
-        "row_key", "doc_id", "start", "end", "n_words", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"),
+    firsts = known.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = known.join(firsts, ["high", "low"]).where((F.col("row_key") != F.col("first.row_key")) | (F.col("start") != F.col("first.start")))
+    order = Window.partitionBy("row_key").orderBy("ordinal")
+    runs = later.withColumn("run", F.col("ordinal") - F.row_number().over(order))
+    return runs.withColumn("run_words", F.sum("n_words").over(Window.partitionBy("row_key", "run"))).select(
+        "row_key", "doc_id", "start", "end", "until", "n_words", "run_words", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"),
         F.concat(F.lpad(F.hex("high"), 16, "0"), F.lpad(F.hex("low"), 16, "0")).alias("digest"),
     )
 
 
 def find_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", unit: str = "line", min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
-    """The stored rows with their key, and the repeated units among them.
-
-    Null and empty texts have no units. Repeated rows repeat each other's units; one of them keeps them.
-    """
+    """The stored rows with their key, and the repeated units; ``removed`` says whether a unit's run has ``min_words`` words."""
     rows = keyed(docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text")))
-    units = stored(units_of(rows, "text", unit, min_words))
-    return rows, repeats(units, rows.select("row_key", "doc_id"))
+    return rows, repeats(rows, unit).withColumn("removed", F.col("run_words") >= min_words)
 
 
 def without_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """The rows with all their columns and repeated units cut from the text, each with the separator behind it."""
-    key = "_unit_row"
+    """The rows with all their columns, and the units of long enough runs of repeats cut from the text with what separates them from the next."""
+    key, cuts_of = "_unit_row", "_unit_cuts"
     rows = keyed(docs, key)
-    units = stored(units_of(rows.select(F.col(key).alias("row_key"), F.col(text).alias("text")), "text", unit, min_words))
-    found = repeats(units, rows.select(F.col(key).alias("row_key"), F.col(id_column).alias("doc_id")))
-    cuts = found.groupBy(F.col("row_key").alias(key)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
-    gap = len(SEPARATORS[unit])
+    found = repeats(rows.select(F.col(key).alias("row_key"), F.col(id_column).alias("doc_id"), F.col(text).alias("text")), unit).where(F.col("run_words") >= min_words)
+    cuts = found.groupBy(F.col("row_key").alias(key)).agg(F.array_sort(F.collect_list(F.struct("start", "until"))).alias(cuts_of))
 
     @F.pandas_udf("string")
     def cut(texts, lists):
@@ -99,7 +141,7 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
             out, at = [], 0
             for span in spans:
                 out.append(value[at : span["start"]])
-                at = min(len(value), span["end"] + gap)
+                at = span["until"]
             return "".join([*out, value[at:]])
 
         import pandas as pd
@@ -107,10 +149,11 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         return pd.Series([one(t, s) for t, s in zip(texts, lists)], dtype=object)
 
     joined = rows.join(cuts, key, "left")
-    return joined.withColumn(text, cut(F.col(text), F.col("_cuts"))).select(*docs.columns)
+    return joined.withColumn(text, cut(F.col(text), F.col(cuts_of))).select(*docs.columns)
 
 
 @query("op9_line_hashes")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every repeated non-empty line of all documents with its offsets and the document that keeps it; tested against a plain version."""
-    return find_repeats(table(spark, sf_dir, "documents"), min_words=1)[1].drop("row_key")
+    """The clauses of all documents that are removed as repeats: those in runs of ``PASSAGE_WORDS`` words; tested against a plain version."""
+    found = find_repeats(table(spark, sf_dir, "documents"), unit="clause", min_words=PASSAGE_WORDS)[1]
+    return found.where("removed").drop("row_key", "removed")

@@ -26,8 +26,6 @@ from docketflow.session import stored
 
 CAPACITY = 1024
 END_ID = 2
-#: Second lengths tried for each first length when three-piece patterns are enumerated.
-SECONDS = 48
 NNLS_ROUNDS = 400
 #: Bits of a rank in the search key (length, rank).
 RANK_BITS = 50
@@ -115,7 +113,10 @@ def pieces(
 
 
 def _patterns(histogram: np.ndarray, capacity: int) -> np.ndarray:
-    """Patterns of one to three lengths that fill a sequence exactly, as rows (a, b, c) with zeros at the end."""
+    """All patterns of one to three lengths that fill a sequence exactly, as rows (a, b, c) with zeros at the end.
+
+    There are about capacity^2 / 12 of them at most, whatever the corpus is.
+    """
     there = np.flatnonzero(histogram)
     held = np.zeros(capacity + 1, bool)
     held[there] = True
@@ -128,8 +129,6 @@ def _patterns(histogram: np.ndarray, capacity: int) -> np.ndarray:
             out.append((a, rest, 0))
         seconds = there[(there <= min(a, rest - 1)) & (2 * there >= rest)]
         seconds = seconds[held[rest - seconds]]
-        if len(seconds) > SECONDS:
-            seconds = seconds[np.linspace(0, len(seconds) - 1, SECONDS).astype(int)]
         out += [(a, b, rest - b) for b in seconds.tolist()]
     return np.array(out, np.int64).reshape(-1, 3)
 

@@ -52,8 +52,8 @@ PRECISION = 0.97
 MIN_MET = 0.5
 #: Standard deviations by which a count may fall short of a share by chance.
 NOISE = 2.0
-#: Held-out candidates above the threshold that a kind needs before it may add spans.
-MIN_HELD = 20
+#: Candidates that the shares of all kinds together count for beside a kind's own ones.
+PRIOR = 20.0
 
 
 def digits_of(match: Column) -> Column:
@@ -165,7 +165,7 @@ def rated_candidates(spans: DataFrame) -> DataFrame:
     where nothing is known.
     """
     picked = spans.where(F.size("loose") > 0).select("text", "base", F.explode("loose").alias("c"))
-    rank = F.xxhash64(F.col("c.m"), F.substring("text", 1, 200), F.col("c.s"))
+    rank = F.xxhash64(F.col("c.m"), F.col("text"), F.col("c.s"))
     met = F.exists("base", lambda b: (b["k"] == F.col("c.k")) & overlaps(b, F.col("c")))
     false = ~F.col("c.ok") | F.exists("base", lambda b: overlaps(b, F.col("c")))
     label = F.when(met, 1.0).when(false, 0.0)
@@ -209,24 +209,34 @@ def cuts_of(rated, precision: float) -> dict[int, float]:
     """The margin each kind's candidates need, of rows (k, v, good, open, n): met, unlabelled and all candidates of a margin.
 
     True candidates meet base in a share that is taken from the margins where those lie that do meet it. So
-    many of the candidates from a threshold on must have met base, times the precision.
+    many of the candidates from a threshold on must have met base, times the precision. A kind's counts are joined by
+    ``PRIOR`` candidates of all kinds with the same margins, so that few candidates are judged by what the trees are worth elsewhere, and
+    many by themselves. No number of candidates switches a kind on or off.
     """
-    kinds: dict[int, list] = {}
-    for row in sorted(rated, key=lambda r: (r["k"], -r["v"])):
-        kinds.setdefault(row["k"], []).append(row)
+    rows = sorted(rated, key=lambda r: (r["k"], -r["v"]))
+    margins = sorted({r["v"] for r in rows}, reverse=True)
+    kinds = {k: {r["v"]: (r["good"], r["open"], r["n"]) for r in rows if r["k"] == k} for k in range(len(KINDS))}
+    whole = {v: tuple(sum(held[v][i] for held in kinds.values() if v in held) for i in range(3)) for v in margins}
+
+    def met_of(held: dict) -> tuple[float, float]:
+        """How many met base, and of how many of them the others of their margin did: one alone says nothing."""
+        many = [(good, good + free) for good, free, _ in held.values() if good + free > 1]
+        return sum(g for g, _ in many), sum(g * (g - 1) / (n - 1) for g, n in many)
+
+    all_met, all_others = met_of(whole)
+    if not all_met:
+        return {}
     cuts: dict[int, float] = {}
-    for kind, rows in kinds.items():
-        # The share among the others of its margin, for each that met base: one alone says nothing.
-        many = [(r["good"], r["good"] + r["open"]) for r in rows if r["good"] + r["open"] > 1]
-        met = sum(g for g, _ in many)
-        if not met:
-            continue
-        share = max(MIN_MET, sum(g * (g - 1) / (n - 1) for g, n in many) / met)
-        good, total = 0.0, 0
-        for row in rows:
-            good, total = good + row["good"], total + row["n"]
-            if total >= MIN_HELD and enough(good, total, share, precision) and enough(row["good"], row["n"], MIN_MET):
-                cuts[kind] = row["v"]
+    for kind, held in kinds.items():
+        met, others = met_of(held)
+        share = max(MIN_MET, (others + PRIOR * all_others / all_met) / (met + PRIOR))
+        good = total = all_good = all_total = 0.0
+        for v in margins:
+            own, every = held.get(v, (0, 0, 0)), whole[v]
+            good, total, all_good, all_total = good + own[0], total + own[2], all_good + every[0], all_total + every[2]
+            from_here = enough(good + PRIOR * all_good / all_total, total + PRIOR, share, precision)
+            if from_here and enough(own[0] + PRIOR * every[0] / every[2], own[2] + PRIOR, MIN_MET):
+                cuts[kind] = v
     return cuts
 
 

@@ -15,6 +15,8 @@ every setting finds the same links.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketflow.llm.registry import query, table
-from docketflow.llm.rows import keyed
+from docketflow.llm.rows import free_name, keyed
 from docketflow.session import cut_lineage, stored
 
 BITS = 64
@@ -32,6 +34,13 @@ DISTANCE = 4
 SHINGLE = 4
 SEED = 42
 BANDS = 3
+#: For documents that are alike: words of a shingle, similarity of the shingle sets, and fingerprints of a sketch.
+ALIKE_SHINGLE = 5
+SIMILARITY = 0.8
+SKETCH = 5
+#: Standard deviations by which the bits of a pair may differ from what is expected of its similarity.
+SLACK = 1.3
+FIRST_SLACK = 3.5
 #: Shingles whose bits are counted at once; bounds the memory of very long texts.
 BLOCK = 1 << 16
 
@@ -40,21 +49,36 @@ _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 def simhash(text: str | None, shingle: int = SHINGLE) -> int:
     """The fingerprint of one text as an unsigned number; no words give zero."""
+    return int(sketch(text, shingle, 1)[0])
+
+
+def sketch(text: str | None, shingle: int, size: int) -> np.ndarray:
+    """``size`` fingerprints of one text. The first is that of the hashes themselves, each other one of hashes mixed from them."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(size, np.uint64)
     if len(words) < shingle:
         shingles = iter([b" ".join(words)])
         total = 1
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
         total = len(words) - shingle + 1
-    counts, digest = np.zeros(BITS, np.int64), xxhash.xxh64_intdigest
+    counts, digest = np.zeros((size, BITS), np.int64), xxhash.xxh64_intdigest
     for start in range(0, total, BLOCK):
-        size = min(BLOCK, total - start)
-        hashes = np.fromiter((digest(next(shingles), SEED) for _ in range(size)), np.uint64, size)
-        counts += np.unpackbits(hashes.astype("<u8").view(np.uint8), bitorder="little").reshape(-1, BITS).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > total, bitorder="little").tobytes(), "little")
+        block = min(BLOCK, total - start)
+        hashes = np.fromiter((digest(next(shingles), SEED) for _ in range(block)), np.uint64, block)
+        for k in range(size):
+            mixed = _mixed(hashes, k) if k else hashes
+            counts[k] += np.unpackbits(mixed.astype("<u8").view(np.uint8), bitorder="little").reshape(-1, BITS).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > total, axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
+
+
+def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Other hashes, each from one of ``hashes``: multiplied and folded twice, in 64 bits."""
+    out = hashes + np.uint64((0x9E3779B97F4A7C15 * k) % 2**64)
+    for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(factor)
+    return out ^ (out >> np.uint64(32))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint", shingle: int = SHINGLE) -> DataFrame:
@@ -97,13 +121,16 @@ def copy_masks(bands: int, distance: int) -> list[list[int]]:
     return [[mask for _, mask in sorted(each)] for each in out]
 
 
-def at_anchors(prints: DataFrame, bands: int, distance: int, home: bool) -> DataFrame:
-    """Fingerprints ``fp`` at their nearest anchor, or copied to every anchor that can hold a link."""
+def at_anchors(prints: DataFrame, bands: int, distance: int, home: bool, source: str = "fp") -> DataFrame:
+    """Fingerprints ``fp`` at their nearest anchor, or copied to every anchor that can hold a link.
+
+    The anchors are those of ``source``; (fp, anchor) is given.
+    """
     width, coded, parity = band_layout(bands)
     masks = copy_masks(bands, distance)
     choices = F.array(*[F.array(*[F.lit(m).cast("long") for m in (each[:1] if home else each)]) for each in masks])
-    out = prints.select("fp", F.explode(F.array(*[F.lit(b) for b in range(bands)])).alias("band"))
-    word = F.expr(f"shiftrightunsigned(fp, band * {width}) & {2**width - 1}L")
+    out = prints.select("fp", F.col(source).alias("coded"), F.explode(F.array(*[F.lit(b) for b in range(bands)])).alias("band"))
+    word = F.expr(f"shiftrightunsigned(coded, band * {width}) & {2**width - 1}L")
     syndrome = F.lit(0)
     for bit in range(parity):
         members = sum(1 << i for i in range(coded) if (i + 1) >> bit & 1)
@@ -195,17 +222,59 @@ def near_duplicates(
     )
 
 
-def keep_one(docs: DataFrame, order: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each near-duplicate component: the smallest non-null ``order``, then the first written row.
+def expected_bits(similarity: float, bits: int, slack: float) -> int:
+    """Bits that fingerprints of sets with this Jaccard similarity differ in, and ``slack`` standard deviations more."""
+    cosine = 2 * similarity / (1 + similarity)
+    share = math.acos(cosine) / math.pi
+    return math.floor(share * bits + slack * math.sqrt(bits * share * (1 - share)))
+
+
+def alike(nodes: DataFrame, similarity: float = SIMILARITY, size: int = SKETCH, bands: int = BANDS) -> DataFrame:
+    """Pairs (a, b), a < b, of first fingerprints whose sketches differ in no more bits than is expected of ``similarity``.
+
+    ``nodes`` has (fp, sketch), ``fp`` distinct. Two sketches are compared where one of their ``size * bands`` bands agrees up to one bit:
+    each fingerprint of the sketch has anchors of its own. Pairs of less similar sets are found less often, those of
+    more similar ones more often.
+    """
+    each = nodes.select("fp", F.posexplode("sketch").alias("k", "value"))
+
+    def placed(home: bool, name: str) -> DataFrame:
+        parts = [at_anchors(each.where(F.col("k") == k), bands, bands, home, "value").select(
+            F.col("fp").alias(name), (F.col("anchor") * size + k).alias("anchor")) for k in range(size)]
+        return reduce(DataFrame.unionByName, parts)
+
+    homes, copies = placed(True, "a"), placed(False, "b")
+    first = expected_bits(similarity, BITS, FIRST_SLACK)
+    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= first)
+    met = homes.join(copies, (homes["anchor"] == copies["anchor"]) & near).select("a", "b").distinct()
+    ends = [nodes.select(F.col("fp").alias(n), F.col("sketch").alias(f"{n}_sketch")) for n in ("a", "b")]
+    differing = F.aggregate(F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    whole = expected_bits(similarity, BITS * size, SLACK)
+    return met.join(ends[0], "a").join(ends[1], "b").where(differing <= whole).select("a", "b")
 
-    All columns stay as they are.
+
+def keep_one(
+    docs: DataFrame, order: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = ALIKE_SHINGLE, size: int = SKETCH,
+) -> DataFrame:
+    """One row of each group of documents that are alike: the smallest non-null ``order``, then the first written row.
+
+    Alike are texts whose sets of ``shingle``-word shingles have about ``similarity`` or more in common, by their sketches.
+    Equal first fingerprints are alike as they are; so null and empty texts are one group. All columns stay as they are.
     """
-    key = "_component_row"
+    key = free_name(docs, "_component_row")
     rows = keyed(docs, key)
+
+    @F.pandas_udf("array<long>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([sketch(t, shingle, size).astype(np.int64) for t in texts])
+
     # The smallest id decides; the written row decides among equal ids.
-    ranked = rows.select(F.struct(F.col(order).isNull().alias("n"), F.col(order).alias("v"), F.col(key).alias("k")).alias("o"), F.col(text).alias("t"))
-    best = near_duplicates(ranked, "o", "t").select(F.col("component_id.k").alias(key)).distinct()
-    return rows.join(best, key, "left_semi").select(*docs.columns)
+    place = F.struct(F.col(order).isNull().alias("n"), F.col(order).alias("v"), F.col(key).alias("k"))
+    prints = stored(rows.select(place.alias("o"), run(F.col(text)).alias("sketch")).select("o", "sketch"))
+    nodes = stored(prints.groupBy(F.col("sketch")[0].alias("fp")).agg(F.min("o").alias("first"), F.min("sketch").alias("sketch")))
+    stars = components(alike(nodes.select("fp", "sketch"), similarity, size))
+    rooted = nodes.join(stars, nodes["fp"] == stars["node"], "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("best"))
+    return rows.join(rooted.select(F.col("best.k").alias(key)), key, "left_semi").select(*docs.columns)
 
 
 @query("op3_anchor_dedup")

@@ -151,7 +151,7 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", window: int = W
     """The rows whose text holds no window of any item, with all their columns."""
     phrases = stored(phrases_of(items, window=window))
     dirty = stored(Index(docs.select(F.col(text).alias("text")), phrases).exact().select("digest").distinct())
-    return docs.join(dirty.withColumnRenamed("digest", "_digest"), digest_of(docs[text]) == F.col("_digest"), "left_anti")
+    return docs.join(dirty, digest_of(docs[text]) == dirty["digest"], "left_anti")
 
 
 @query("op2_decontamination")

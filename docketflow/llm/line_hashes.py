@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docketflow.llm.registry import query, table
-from docketflow.llm.rows import keyed
+from docketflow.llm.rows import free_name, keyed
 
 #: Words of a run of repeated units that is removed, where a caller names no other bar.
 MIN_WORDS = 20
@@ -128,7 +128,7 @@ def find_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
 
 def without_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
     """The rows with all their columns, and the units of long enough runs of repeats cut from the text with what separates them from the next."""
-    key, cuts_of = "_unit_row", "_unit_cuts"
+    key, cuts_of = free_name(docs, "_unit_row"), free_name(docs, "_unit_cuts")
     rows = keyed(docs, key)
     found = repeats(rows.select(F.col(key).alias("row_key"), F.col(id_column).alias("doc_id"), F.col(text).alias("text")), unit).where(F.col("run_words") >= min_words)
     cuts = found.groupBy(F.col("row_key").alias(key)).agg(F.array_sort(F.collect_list(F.struct("start", "until"))).alias(cuts_of))

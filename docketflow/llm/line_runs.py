@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docketflow.llm.registry import query, table
-from docketflow.llm.rows import keyed
+from docketflow.llm.rows import free_name, keyed
 from docketflow.session import stored
 
 MIN_WORDS = 50
@@ -153,12 +153,12 @@ def without_later_copies(docs: DataFrame, id_column: str = "doc_id", text: str =
     A null text stays null; an empty one is one empty line. Repeated rows are copies of each other: one of them stays
     whole. A text of which everything is removed becomes empty; its row stays.
     """
-    key = "_run_row"
+    key, runs_of = free_name(docs, "_run_row"), free_name(docs, "_runs")
     cut = F.pandas_udf(_cut, "struct<n_lines: int, n_removed: int, removed: string, text: string>")
     rows = keyed(docs, key)
     plain = rows.select(F.col(key).alias("row_key"), F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
-    runs = later_copies(plain, min_words).groupBy(F.col("row_key").alias(key)).agg(F.collect_list(F.struct("start", "size")).alias("_runs"))
-    return rows.join(runs, key, "left").withColumn(out, cut(F.col(text), F.col("_runs.start"), F.col("_runs.size"))).drop(key, "_runs")
+    runs = later_copies(plain, min_words).groupBy(F.col("row_key").alias(key)).agg(F.collect_list(F.struct("start", "size")).alias(runs_of))
+    return rows.join(runs, key, "left").withColumn(out, cut(F.col(text), F.col(runs_of)["start"], F.col(runs_of)["size"])).drop(key, runs_of)
 
 
 @query("op7_line_runs")

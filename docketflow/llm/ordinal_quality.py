@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docketflow.llm.registry import query, table
-from docketflow.llm.rows import key_filter, may_hold
+from docketflow.llm.rows import free_name, key_filter, may_hold
 from docketflow.session import stored
 
 #: Most rated rows that the model is fitted on, the lowest by hash.
@@ -186,21 +186,33 @@ def graded(docs: DataFrame, model: OrdinalModel | None, text: str = "text", keep
     """The rows with ``expected_grade``, ``tail_probability`` of the highest grade, and ``kept``.
 
     Null and empty texts have the form of an empty text and are judged by it. Repeated rows get equal results.
-    Without a model nothing is known: both numbers are null and every row is kept.
+    Without a model nothing is known: both numbers are null and every row is kept. Columns of these names are replaced;
+    :func:`accepted` leaves all columns as they are.
     """
+    name = free_name(docs, "_graded")
+    out = docs.withColumn(name, verdict_of(F.col(text), model, keep))
+    return out.withColumns({n: F.col(name)[n] for n in ("expected_grade", "tail_probability", "kept")}).drop(name)
+
+
+def accepted(docs: DataFrame, model: OrdinalModel | None, text: str = "text", keep: float = KEEP) -> DataFrame:
+    """The rows that :func:`graded` keeps, with their columns as they are."""
+    name = free_name(docs, "_graded")
+    return docs.withColumn(name, verdict_of(F.col(text), model, keep)).where(F.col(name)["kept"]).drop(name)
+
+
+def verdict_of(text: Column, model: OrdinalModel | None, keep: float = KEEP) -> Column:
+    """Expected grade, tail probability of the highest grade, and whether that reaches ``keep``, as one struct."""
     if model is None:
         none = F.lit(None).cast("double")
-        return docs.withColumns({"expected_grade": none, "tail_probability": none, "kept": F.lit(True)})
+        return F.struct(none.alias("expected_grade"), none.alias("tail_probability"), F.lit(True).alias("kept"))
 
-    @F.pandas_udf(T.StructType([T.StructField("g", T.DoubleType()), T.StructField("p", T.DoubleType())]))
+    @F.pandas_udf(T.StructType([T.StructField("expected_grade", T.DoubleType()), T.StructField("tail_probability", T.DoubleType()), T.StructField("kept", T.BooleanType())]))
     def run(texts: pd.Series) -> pd.DataFrame:
         tails = [model.tails(t) for t in texts]
-        return pd.DataFrame({"g": [model.expected(t) for t in tails], "p": [t[-1] for t in tails]}, dtype="float64")
+        last = np.array([t[-1] for t in tails], np.float64)
+        return pd.DataFrame({"expected_grade": np.array([model.expected(t) for t in tails], np.float64), "tail_probability": last, "kept": last >= keep})
 
-    out = docs.withColumn("_graded", run(F.col(text)))
-    return out.withColumns({
-        "expected_grade": F.col("_graded.g"), "tail_probability": F.col("_graded.p"), "kept": F.col("_graded.p") >= keep,
-    }).drop("_graded")
+    return run(text)
 
 
 def grades_of(labels: DataFrame) -> DataFrame:

@@ -20,8 +20,19 @@ def keyed(df: DataFrame, name: str = "row_key") -> DataFrame:
     committed the key never changes, whatever executors are lost later, and it needs neither a
     sort nor a column that is unique in the input: repeated rows get different keys.
     """
-    part = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("long")
-    return stored(df).withColumn(name, F.shiftleft(part, FILE_BITS) + F.col("_metadata.row_index"))
+    rows = stored(df)
+    # Also where the input has a column of that name.
+    file = rows.metadataColumn("_metadata")
+    part = F.regexp_extract(file["file_name"], r"^part-(\d+)", 1).cast("long")
+    return rows.withColumn(name, F.shiftleft(part, FILE_BITS) + file["row_index"])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def lower_ascii(text: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from docketflow.plans import standins
 from docketflow.plans.registry import query
 from docketflow.session import ensure_checkpoint_dir
-from docketflow.streaming import page_stream, stateful
+from docketflow.streaming import page_stream, repairs, stateful
 
 
 def _folder(spark) -> str:
@@ -80,6 +80,73 @@ def stream_refusals(spark, sf_dir):
     return page_stream.check_batch(changed.withColumn("payload", longer), store)
 
 
+#: The sort that the cursor pages are approved under.
+APPROVED = ("asc", "asc")
+
+
+def _cursor_pages(spark, sf_dir, tampered: bool):
+    """Event pages of four collections in the order of event ids; ``tampered`` ones break the cursor contract in three ways."""
+    page, place = F.floor(F.col("event_id") / standins.EVENT_PAGE), F.col("event_id") % standins.EVENT_PAGE
+    sort = F.concat(F.col("event_id"), F.lit(',"e'), F.col("event_id"), F.lit('"'))
+    if tampered:
+        before = (page - 3) * standins.EVENT_PAGE - 1
+        sort = (
+            F.when((page % 11 == 5) & (place == 1), F.concat(F.lit('"x",'), F.lit('"e"')))
+            .when((page % 13 == 6) & (place == 2), F.col("event_id").cast("string"))
+            .when((page % 7 == 3) & (place == 0), F.concat(before, F.lit(',"e'), before, F.lit('"')))
+            .otherwise(sort)
+        )
+    pages = standins.event_pages(spark, sf_dir, sort=sort)
+    return pages.withColumn("collection_id", F.concat(F.lit("c"), F.col("page_revision") % 4))
+
+
+@query("stream_cursor", """WITH hits AS (SELECT event_id // 100 AS page, event_id % 100 AS place FROM events WHERE event_id // 400 % 2 = 1),
+inside AS (SELECT page, min(place) AS place FROM hits WHERE page % 11 = 5 AND place = 1 OR page % 13 = 6 AND place = 2 GROUP BY page),
+broken AS (SELECT page, place, CASE place WHEN 1 THEN 'cursor value of another type' ELSE 'cursor with another number of sort values' END AS reason FROM inside
+  UNION ALL SELECT page, 0, 'cursor repeated or went back' FROM hits WHERE page % 7 = 3 AND place = 0 AND page NOT IN (SELECT page FROM inside))
+SELECT reason, sha256('{"collection_id":"c' || page % 4 || '","previous_checkpoint_revision":' || page || '}') || ':' || (place + 1) AS subject FROM broken""")
+def stream_cursor(spark, sf_dir):
+    """Cursor breaks of every second page of each collection, beside the stored pages before and after it.
+
+    The stored half goes through the stream under the same contract; it is sound. The other half repeats the last cursor of a stored page,
+    changes the type of a value, or leaves one out.
+    """
+    folder = _folder(spark)
+    store = page_stream.FactStore(f"{folder}/facts")
+    late = F.floor(F.col("page_revision") / 4) % 2 == 1
+    _cursor_pages(spark, sf_dir, False).where(~late).repartition(3).write.parquet(f"{folder}/pages")
+    page_stream.start(spark, f"{folder}/pages", store, f"{folder}/checkpoint", files_per_batch=2, sort=APPROVED).awaitTermination()
+    return page_stream.check_batch(_cursor_pages(spark, sf_dir, True).where(late), store, APPROVED)
+
+
+@query("stream_reprocessed", """WITH pages AS (SELECT event_id // 100 AS page, max(ts) AS moment FROM events GROUP BY 1),
+hits AS (SELECT user_id, event_id, page, moment, event_id % 3 = 0 AS bad,
+  sha256('{"id":"u' || user_id || '","movimentos":[{"codigo":' || json_extract(props, '$.k') || '}],"numeroProcesso":"' || lpad(user_id::VARCHAR, 20, '0') || '","tipo":"' || event_type || '","tribunal":"TJGO"}') AS sha,
+  md5('synthetic' || chr(1) || 'TJGO' || chr(1) || 'u' || user_id) AS rep FROM events JOIN pages ON event_id // 100 = page),
+versions AS (SELECT user_id, rep, sha, md5(rep || chr(1) || sha) AS version, coalesce(min(moment) FILTER (NOT bad), min(moment)) AS moment, bool_or(bad) AS mended FROM hits GROUP BY ALL),
+current AS (SELECT user_id, sha FROM hits WHERE NOT bad QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY moment DESC, page DESC, event_id DESC) = 1),
+stacked AS (SELECT v.*, 1 AS kept FROM versions v JOIN current USING (user_id, sha) UNION ALL SELECT *, 0 FROM versions WHERE mended),
+best AS (SELECT * FROM stacked QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY moment DESC, kept DESC, version DESC) = 1)
+SELECT rep AS representation_id, b.sha AS payload_sha256, strftime(b.moment, '%Y-%m-%d %H:%M:%S') AS first_seen,
+  (SELECT count(*) FROM hits h WHERE h.user_id = b.user_id AND bad) AS repairs, (SELECT count(*) FROM versions v WHERE v.user_id = b.user_id) AS versions FROM best b""")
+def stream_reprocessed(spark, sf_dir):
+    """Projections after every third hit came with a bad case number and was mended, twice over; repairs and versions by representation."""
+    folder = _folder(spark)
+    store = page_stream.FactStore(f"{folder}/facts")
+    number = F.lpad(F.col("user_id").cast("string"), F.when(F.col("event_id") % 3 == 0, 19).otherwise(20), F.lit("0"))
+    standins.event_pages(spark, sf_dir, source=standins.event_source(number)).write.parquet(f"{folder}/pages")
+    page_stream.start(spark, f"{folder}/pages", store, f"{folder}/checkpoint").awaitTermination()
+    mended = page_stream.P.scan_pages(standins.event_pages(spark, sf_dir))
+    for batch in ("repair", "the same again"):
+        repairs.reprocess(spark, store, batch, mended)
+    done = repairs.resolutions(spark, store).groupBy("representation_id").agg(F.count("*").alias("repairs"))
+    held = page_stream.facts(spark, store, "versions").groupBy("representation_id").agg(F.count("*").alias("versions"))
+    return repairs.projection(spark, store).join(held, "representation_id").join(done, "representation_id", "left").select(
+        "representation_id", "payload_sha256", F.date_format("first_observed_at", "yyyy-MM-dd HH:mm:ss").alias("first_seen"),
+        F.coalesce("repairs", F.lit(0)).cast("long").alias("repairs"), "versions",
+    )
+
+
 @query("stateful_diff", """WITH daily AS (SELECT user_id, event_type, date_trunc('day', ts) AS d, count(*) AS n FROM events GROUP BY 1, 2, 3)
 SELECT user_id::VARCHAR AS representation_id, event_type AS content_sha256, max(n) AS ordinals FROM daily GROUP BY 1, 2""")
 def stateful_diff(spark, sf_dir):

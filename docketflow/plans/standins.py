@@ -331,20 +331,25 @@ def line_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVENT_PAGE = 100
 
 
-def event_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page envelopes of at most 100 hits, cut along the unique event ids."""
-    events = read(spark, sf_dir, "events")
-    # Users play the representations, so a page repeats some of them.
-    source = F.concat(
-        F.lit('{"numeroProcesso":"'), F.lpad(F.col("user_id").cast("string"), 20, "0"),
-        F.lit('","id":"u'), F.col("user_id"), F.lit('","tribunal":"TJGO","tipo":"'), F.col("event_type"),
+def event_source(number: Column | None = None) -> Column:
+    """The record of an event. Users play the representations, so a page repeats some of them."""
+    number = F.lpad(F.col("user_id").cast("string"), 20, "0") if number is None else number
+    return F.concat(
+        F.lit('{"numeroProcesso":"'), number, F.lit('","id":"u'), F.col("user_id"), F.lit('","tribunal":"TJGO","tipo":"'), F.col("event_type"),
         F.lit('","movimentos":[{"codigo":'), F.get_json_object("props", "$.k"), F.lit("}]}"),
     )
+
+
+def event_hit(sort: Column, source: Column) -> Column:
+    return F.concat(F.lit('{"_id":"u'), F.col("user_id"), F.lit('","sort":['), sort, F.lit('],"_source":'), source, F.lit("}"))
+
+
+def event_pages(spark: SparkSession, sf_dir: str, sort: Column | None = None, source: Column | None = None) -> DataFrame:
+    """Page envelopes of at most 100 hits, cut along the unique event ids. ``sort`` and ``source`` replace parts of every hit."""
+    events = read(spark, sf_dir, "events")
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    hit = F.concat(
-        F.lit('{"_id":"u'), F.col("user_id"), F.lit('","sort":['), micros, F.lit(',"e'), F.col("event_id"),
-        F.lit('"],"_source":'), source, F.lit("}"),
-    )
+    sort = F.concat(micros, F.lit(',"e'), F.col("event_id"), F.lit('"')) if sort is None else sort
+    hit = event_hit(sort, event_source() if source is None else source)
     page = F.floor(F.col("event_id") / EVENT_PAGE)
     grouped = events.select(page.alias("page_revision"), "event_id", "ts", hit.alias("hit")).groupBy("page_revision").agg(
         F.array_sort(F.collect_list(F.struct("event_id", "hit"))).alias("hits"),

@@ -121,3 +121,108 @@ def test_redaction_at_any_depth(spark):
         '{"q":{"search_after":["<cursor-redigido>","<cursor-redigido>"]},"x":1.0}', f'{{"{number}":"{number}0","a":["{hidden}"]}}',
         '{"search_after":7}', f'"{hidden}"', None, None,
     ]
+
+
+def raw_page(spark, sorts, revision=0, collection="k", payload=None):
+    """One page whose hits have these sort lists."""
+    hits = [{"_id": f"{collection}{revision}-{n}", "_source": source(f"{collection}{revision}-{n}"), "sort": s} for n, s in enumerate(sorts)]
+    text = json.dumps({"hits": {"total": len(hits), "hits": hits}}) if payload is None else payload
+    return spark.createDataFrame([(collection, revision, DAY + dt.timedelta(days=revision), "TJGO", "demo", text)], P.PAGE_SCHEMA)
+
+
+SORT = ("asc", "desc")
+
+
+@pytest.fixture(scope="module")
+def cursor_store(spark, tmp_path_factory):
+    """Revisions 2 and 6 of a collection, in two batches; an empty page between them."""
+    out = page_stream.FactStore(str(tmp_path_factory.mktemp("cursors")))
+    page_stream.ingest_batch(raw_page(spark, [[10, "m"], [10, "c"], [12, "z"]], 2), "two", out, sort=SORT)
+    page_stream.ingest_batch(raw_page(spark, [[40, "a"]], 6).unionByName(raw_page(spark, [], 5)), "six", out, sort=SORT)
+    return out
+
+
+CURSORS = [
+    ([[12, "y"], [39, "a"]], 4, None),
+    ([[12, "z"], [13, "a"]], 4, "cursor repeated or went back"),
+    ([[11, "a"]], 4, "cursor repeated or went back"),
+    ([[13, "b"], [13, "b"]], 4, "cursor repeated or went back"),
+    ([[13, "b"], [13, "c"]], 4, "cursor repeated or went back"),
+    ([[13, "b"], [40, "a"]], 4, "cursor repeated or went back"),
+    ([[13, "b"], ["14", "b"]], 4, "cursor value of another type"),
+    ([[13.0, "b"]], 4, "cursor value of another type"),
+    ([[13, "b"], [None, "b"]], 4, "cursor value of another type"),
+    ([[13, None], [13, None]], 4, "cursor repeated or went back"),
+    ([[13, "b"], [14]], 4, "cursor with another number of sort values"),
+    ([[13]], 4, "cursor with another number of sort values"),
+    ([[41, "a"]], 7, None),
+    ([[1, "a"], [9, "b"]], 1, None),
+    ([[10, "m"]], 1, "cursor repeated or went back"),
+    ([], 4, None),
+]
+
+
+@pytest.mark.parametrize("sorts, revision, reason", CURSORS)
+def test_cursors_inside_and_across_batches(spark, cursor_store, sorts, revision, reason):
+    page = raw_page(spark, sorts, revision)
+    assert {r["reason"] for r in page_stream.check_batch(page, cursor_store, SORT).collect()} == ({reason} if reason else set())
+    # Other collections have cursors of their own, and without an approved sort nothing is asked.
+    assert page_stream.check_batch(page, cursor_store).isEmpty()
+
+
+def test_cursor_breaks_are_not_stored(spark, cursor_store):
+    before = page_stream.observations(spark, cursor_store).count()
+    with pytest.raises(page_stream.ReplayConflict, match="cursor"):
+        page_stream.ingest_batch(raw_page(spark, [[11, "a"]], 4), "back", cursor_store, sort=SORT)
+    assert page_stream.observations(spark, cursor_store).count() == before
+
+
+def test_a_broken_page_is_judged_afresh(spark, tmp_path):
+    """A failed attempt is logged, and the right page under the same key is taken afterwards; good pages beside it are stored."""
+    out = page_stream.FactStore(str(tmp_path / "facts"))
+    for n, payload in enumerate(('{"hits":{"hits":["no hit"]}}', "[]", '{"hits":{"hits":[{"sort":[1]}],"total":-1}}')):
+        broken = raw_page(spark, [], 0, payload=payload)
+        page_stream.ingest_batch(broken.unionByName(raw_page(spark, [[5, "a"]], n + 1)), f"try {n}", out)
+    assert page_stream.observations(spark, out).count() == 3 and page_stream.facts(spark, out, "pages").count() == 3
+    right = raw_page(spark, [[1, "a"], [2, "a"]], 0)
+    assert page_stream.check_batch(right, out).isEmpty()
+    page_stream.ingest_batch(right, "right", out)
+    assert page_stream.observations(spark, out).count() == 5
+    errors = [r["page_error"] for r in page_stream.facts(spark, out, "attempts").orderBy("page_error").collect()]
+    assert errors == ["ENVELOPE_NOT_OBJECT", "HIT_NOT_SOUND", "TOTAL_INVALID"]
+
+
+def test_known_pages_are_not_opened(spark, tmp_path, monkeypatch):
+    out = page_stream.FactStore(str(tmp_path / "facts"))
+    same = pages(spark, [[source("a")], [source("b")]])
+    page_stream.ingest_batch(same, "one", out)
+    monkeypatch.setattr(page_stream, "_opened", lambda *a: pytest.fail("a known page was opened"))
+    page_stream.ingest_batch(same, "two", out)
+    assert page_stream.observations(spark, out).count() == 2
+
+
+def test_reprocessing_writes_and_keeps_newer_projections(spark, tmp_path):
+    from docketflow.streaming import repairs
+
+    out = page_stream.FactStore(str(tmp_path / "facts"))
+    moves = [{"codigo": 3}, {"codigo": 3}]
+    first = [source("old", number="1"), source("lost", number="2", movimentos=moves), source("worse", number="3"), source("fine")]
+    page_stream.ingest_batch(pages(spark, [first, [source("old", grau="G2")]]), "first", out)
+    hits = {r["hit_ordinal"]: r for r in repairs.open_rejections(spark, out).collect()}
+    good = "00000010020268090001"
+    texts = {1: hits[1]["hit"].replace('"1"', f'"{good}"'), 2: hits[2]["hit"].replace('"2"', f'"{good}"'), 3: hits[3]["hit"].replace("TJGO", "TJXX")}
+    mended = spark.createDataFrame([(hits[n]["collection_id"], hits[n]["page_key"], n, t) for n, t in texts.items()], "collection_id string, page_key string, hit_ordinal int, hit string")
+    for batch in ("repair", "repair", "again"):
+        repairs.reprocess(spark, out, batch, mended)
+    assert page_stream.observations(spark, out).count() == 2  # nothing that was observed is rewritten
+    assert {r["hit_ordinal"] for r in repairs.resolutions(spark, out).collect()} == {1, 2}
+    assert {(r["hit_ordinal"], r["validation_code"]) for r in repairs.open_rejections(spark, out).collect()} == {(3, "CNJ_INVALID")}
+    assert page_stream.facts(spark, out, "versions").count() == 4
+    seen = {r["version_id"]: r["first_observed_at"] for r in page_stream.facts(spark, out, "versions").collect()}
+    rows = {r["representation_id"]: r for r in repairs.projection(spark, out).collect()}
+    assert len(rows) == 3 and sorted(r["first_observed_at"] for r in rows.values()) == [DAY, DAY, DAY + dt.timedelta(days=1)]
+    assert all(seen[r["version_id"]] == r["first_observed_at"] for r in rows.values())
+    assert [r["copies"] for r in page_stream.facts(spark, out, "contents").collect()] == [2]
+    other = mended.where("hit_ordinal = 3").withColumn("hit", F.lit(hits[3]["hit"].replace('"3"', f'"{good[:-1]}2"').replace("worse", "fine")))
+    with pytest.raises(page_stream.ReplayConflict, match="two case numbers"):
+        repairs.reprocess(spark, out, "conflict", other)

@@ -6,7 +6,7 @@ run, and a run with enough words is removed: its units are listed with their ori
 out of the texts. Short repeats between new units stay, so a line that unrelated texts share harms nobody, while a passage of many short
 lines, or one that begins and ends within a line, goes with all its whole units.
 
-First only half a digest is counted, so that what comes once is never shuffled with its place.
+Each task sends one first place for a digest; the units meet the places of digests that come twice, in one join by half a digest.
 
 Null and empty texts have no units. Null ids rank last. Repeated rows repeat each other's units; the first written keeps them. Very long texts
 give their units in blocks. An empty table has no repeats. Extra columns, whatever their names, stay as they are.
@@ -27,8 +27,8 @@ from docketflow.llm.rows import free_name, keyed
 
 #: Words of a run of repeated units that is removed, where a caller names no other bar.
 MIN_WORDS = 20
-#: The query's bar: lower than the 50 words of a passage by what is lost at its two ends.
-PASSAGE_WORDS = 40
+#: The query's bar: half of a passage's 50 words, for what is lost with the broken sentences at its two ends.
+PASSAGE_WORDS = 25
 #: What stands between two units.
 SEPARATORS = {
     "line": r"\n",
@@ -54,26 +54,20 @@ def spans_of(text: str, separator: re.Pattern):
     yield start, len(text), len(text)
 
 
-def units_of(rows: DataFrame, unit: str = "line", places: bool = True) -> DataFrame:
-    """Units of the rows (row_key, doc_id, text): first half of the digest and, with ``places``, all that is known of them.
+def units_of(rows: DataFrame, unit: str = "line") -> DataFrame:
+    """Units of the rows (row_key, doc_id, text): both halves of the digest, place and words.
 
     ``ordinal`` counts the units with a word in a text.
     """
     separator = re.compile(SEPARATORS[unit])
-    fields = [T.StructField("high", T.LongType())]
-    if places:
-        fields += [
-            T.StructField("low", T.LongType()), T.StructField("row_key", T.LongType()), T.StructField("doc_id", rows.schema["doc_id"].dataType),
-            *[T.StructField(n, T.LongType()) for n in ("ordinal", "start", "end", "until", "n_words")],
-        ]
-    schema = T.StructType(fields)
+    schema = T.StructType([
+        T.StructField("high", T.LongType()), T.StructField("low", T.LongType()), T.StructField("row_key", T.LongType()),
+        T.StructField("doc_id", rows.schema["doc_id"].dataType), *[T.StructField(n, T.LongType()) for n in ("ordinal", "start", "end", "until", "n_words")],
+    ])
 
     def sent(batch, at, out):
-        numbers = [pa.array(list(c), pa.int64()) for c in zip(*out)]
-        if places:
-            index = pa.array(at)
-            numbers = [*numbers[:2], batch.column(0).take(index), batch.column(1).take(index), *numbers[2:]]
-        return pa.RecordBatch.from_arrays(numbers, schema.names)
+        numbers, index = [pa.array(list(c), pa.int64()) for c in zip(*out)], pa.array(at)
+        return pa.RecordBatch.from_arrays([*numbers[:2], batch.column(0).take(index), batch.column(1).take(index), *numbers[2:]], schema.names)
 
     def run(batches):
         for batch in batches:
@@ -85,12 +79,9 @@ def units_of(rows: DataFrame, unit: str = "line", places: bool = True) -> DataFr
                     if not words:
                         continue
                     digest = hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                    high = int.from_bytes(digest[:8], "little", signed=True)
-                    if places:
-                        at.append(row)
-                        out.append((high, int.from_bytes(digest[8:], "little", signed=True), ordinal, start, end, until, len(words)))
-                    else:
-                        out.append((high,))
+                    halves = (int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True))
+                    at.append(row)
+                    out.append((*halves, ordinal, start, end, until, len(words)))
                     ordinal += 1
                     if len(out) >= BLOCK:
                         yield sent(batch, at, out)
@@ -106,12 +97,15 @@ def repeats(rows: DataFrame, unit: str = "line") -> DataFrame:
 
     ``run_words`` are the words of the run of consecutive repeats that the unit is in.
     """
-    twice = units_of(rows, unit, places=False).groupBy("high").count().where("count > 1").select("high")
-    # The join is exact for half a digest; the other half is compared below.
-    known = units_of(rows, unit).join(twice, "high")
+    units = units_of(rows, unit)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "start")
-    firsts = known.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = known.join(firsts, ["high", "low"]).where((F.col("row_key") != F.col("first.row_key")) | (F.col("start") != F.col("first.start")))
+    # Two digests with one first half are told apart by the least and the greatest second half.
+    firsts = units.groupBy("high").agg(
+        F.min(F.struct("low", place.alias("place"))).alias("least"), F.min(F.struct(F.bitwise_not("low").alias("low"), place.alias("place"))).alias("most"), F.count("*").alias("n"),
+    ).where("n > 1").drop("n")
+    first = F.when(F.col("low") == F.col("least.low"), F.col("least.place")).when(F.col("low") == F.bitwise_not("most.low"), F.col("most.place"))
+    met = units.join(firsts, "high").withColumn("first", first).drop("least", "most")
+    later = met.where((F.col("row_key") != F.col("first.row_key")) | (F.col("start") != F.col("first.start")))
     order = Window.partitionBy("row_key").orderBy("ordinal")
     runs = later.withColumn("run", F.col("ordinal") - F.row_number().over(order))
     return runs.withColumn("run_words", F.sum("n_words").over(Window.partitionBy("row_key", "run"))).select(
@@ -154,6 +148,6 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
 
 @query("op9_line_hashes")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The clauses of all documents that are removed as repeats: those in runs of ``PASSAGE_WORDS`` words; tested against a plain version."""
-    found = find_repeats(table(spark, sf_dir, "documents"), unit="clause", min_words=PASSAGE_WORDS)[1]
+    """The sentences of all documents that are removed as repeats: those in runs of ``PASSAGE_WORDS`` words; tested against a plain version."""
+    found = find_repeats(table(spark, sf_dir, "documents"), unit="sentence", min_words=PASSAGE_WORDS)[1]
     return found.where("removed").drop("row_key", "removed")

@@ -58,7 +58,7 @@ def test_against_plain(spark, monkeypatch, unit):
 def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
-    removed = [r for r in plain(rows, "clause", op.PASSAGE_WORDS) if r[-1]]
+    removed = [r for r in plain(rows, "sentence", op.PASSAGE_WORDS) if r[-1]]
     got = op.op9(spark, "/root/testdata/sf0.01").collect()
     assert sorted(((r["doc_id"], r["start"], r["end"], r["kept_doc_id"], r["kept_start"], r["run_words"], True) for r in got), key=str) == removed
     assert len(removed) > 500

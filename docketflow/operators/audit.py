@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketflow.functions import jsonvalue as J
@@ -277,21 +277,39 @@ def batch_exceptions(reports: DataFrame, requests: DataFrame, pairs: DataFrame)
 def lower_percentiles(df: DataFrame, keys: Sequence[str], value: str, fractions: dict[str, float]) -> DataFrame:
     """Exact percentiles at the lower index int((n-1)*p), per key.
 
-    Values are counted first; a running count over the distinct values then finds each rank. No
-    group is ever collected, so a key may hold any number of rows.
+    Values are counted first. The counts of ``RANGES`` equal ranges between a key's ends tell in which range each
+    rank lies, and only that range is counted through, again in ranges of its own. No group is ever collected, so a key may hold any
+    number of rows, and values that lie close together are told apart wherever they lie.
     """
     from docketflow.operators.ordered import running_totals
 
+    keys = list(keys)
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    upto = running_totals(counts, keys, [value], F.floor(F.col(value)), {"upto": F.col("n")})
-    totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
-    ranked = upto.join(totals, list(keys))
+    ends = counts.groupBy(*keys).agg(F.min(value).alias("__low"), F.max(value).alias("__high"), F.sum("n").alias("__total"))
+    placed = counts.join(ends, keys).withColumn("__range", _range_of(F.col(value), F.col("__low"), F.col("__high")))
+    rows = placed.groupBy(*keys, "__range").agg(F.sum("n").alias("__n"), F.first("__total").alias("__total"), F.min(value).alias("__from"), F.max(value).alias("__to"))
+    # At most RANGES rows for a key.
+    upto = rows.withColumn("__upto", F.sum("__n").over(Window.partitionBy(*keys).orderBy("__range")))
+    wanted = F.array(*[F.struct(F.lit(n).alias("name"), (F.floor((F.col("__total") - 1) * F.lit(p)) + 1).alias("rank")) for n, p in fractions.items()])
+    held = upto.withColumn("__wanted", F.explode(wanted)).where("__wanted.rank <= __upto AND __wanted.rank > __upto - __n").select(
+        *keys, "__range", "__from", "__to", F.col("__wanted.name").alias("__name"), (F.col("__wanted.rank") - F.col("__upto") + F.col("__n")).alias("__rank"))
+    inside = placed.select(*keys, value, "n", "__range").join(held, [*keys, "__range"])
+    counted = running_totals(inside, [*keys, "__name"], [value], _range_of(F.col(value), F.col("__from"), F.col("__to")), {"__upto": F.col("n")})
 
-    def at(fraction: float) -> Column:
-        rank = F.floor((F.col("total") - 1) * F.lit(fraction)) + 1
-        return F.min(F.when(F.col("upto") >= rank, F.col(value)))
+    def at(name: str) -> Column:
+        return F.min(F.when((F.col("__name") == name) & (F.col("__upto") >= F.col("__rank")), F.col(value))).alias(name)
 
-    return ranked.groupBy(*keys).agg(*[at(p).alias(name) for name, p in fractions.items()])
+    return counted.groupBy(*keys).agg(*[at(name) for name in fractions])
+
+
+#: Ranges that a key's values are counted in.
+RANGES = 1024
+
+
+def _range_of(value: Column, low: Column, high: Column) -> Column:
+    """The number of the equal range between two ends that holds a value; it never falls where the value rises."""
+    share = (value.cast("double") - low.cast("double")) / (high.cast("double") - low.cast("double"))
+    return F.when(high > low, F.least(F.floor(share * RANGES), F.lit(RANGES - 1))).otherwise(F.lit(0)).cast("long")
 
 
 def run_profiles(runs: DataFrame, repetitions: int, profile: str = "page_size") -> DataFrame:

@@ -67,6 +67,33 @@ def stream_coverage(spark, sf_dir):
     return page_stream.coverage(spark, _streamed(spark, sf_dir)).select("page_revision", "new", "updated", "unchanged")
 
 
+@query("stream_progress", """WITH pages AS (SELECT event_id // 100 AS page, count(*) AS hits, count(*) FILTER (event_id % 50 = 7) AS bad FROM events GROUP BY 1),
+totals AS (SELECT page % 4 AS c, count(*) AS n, sum(hits)::BIGINT AS hits, sum(bad)::BIGINT AS bad, max(page) AS last FROM pages GROUP BY 1)
+SELECT 'c' || c AS collection_id, n + (c = 0)::INT AS pages_confirmed, hits AS hits_confirmed, hits - CASE c WHEN 1 THEN 0 ELSE bad END AS valid_hits, CASE c WHEN 1 THEN 0 ELSE bad END AS rejected_hits,
+  last + 1 + 4 * (c = 0)::INT AS checkpoint_revision, CASE last % 3 WHEN 0 THEN 10000 WHEN 1 THEN last + 500 END AS source_total, CASE last % 3 WHEN 0 THEN 'gte' END AS total_relation,
+  CASE WHEN c = 0 THEN 'exhausted' WHEN hits >= 240 THEN 'limit' ELSE 'running' END AS query_status, CASE WHEN c = 0 AND bad = 0 THEN 'complete' WHEN c = 0 OR hits >= 240 THEN 'partial' END AS coverage FROM totals""")
+def stream_progress(spark, sf_dir):
+    """Totals and state of four collections by the sums that each batch left, after two streams and a replay.
+
+    One collection ends in an empty page; every fiftieth hit has a bad case number, but for one collection.
+    """
+    folder = _folder(spark)
+    store = page_stream.FactStore(f"{folder}/facts")
+    page = F.floor(F.col("event_id") / standins.EVENT_PAGE)
+    bad = (F.col("event_id") % 50 == 7) & (page % 4 != 1)
+    source = standins.event_source(F.lpad(F.col("user_id").cast("string"), F.when(bad, 19).otherwise(20), F.lit("0")))
+    pages = standins.event_pages(spark, sf_dir, source=source).withColumn("collection_id", F.concat(F.lit("c"), F.col("page_revision") % 4))
+    end = pages.where("collection_id = 'c0'").groupBy("collection_id").agg(
+        (F.max("page_revision") + 4).alias("page_revision"), F.max("responded_at").alias("responded_at"), F.lit("TJGO").alias("tribunal"),
+        F.lit("demo").alias("mode"), F.lit('{"hits":{"hits":[]}}').alias("payload"))
+    pages = pages.unionByName(end)
+    for half in (0, 1):
+        pages.where(F.floor(F.col("page_revision") / 4) % 2 == half).write.parquet(f"{folder}/pages/half={half}")
+    for name in ("half=0", "half=1", ""):
+        page_stream.start(spark, f"{folder}/pages/{name}", store, f"{folder}/checkpoint-{name[-1:] or 'replay'}").awaitTermination()
+    return page_stream.collection_progress(spark, store, budget=240)
+
+
 @query("stream_refusals", """WITH hits AS (SELECT *, event_id // 100 AS page, event_id % 100 + 1 AS ordinal FROM events)
 SELECT 'position with other content' AS reason, sha256('{"collection_id":"events","previous_checkpoint_revision":' || page || '}') || ':' || ordinal AS subject FROM hits WHERE event_type = 'view'
 UNION ALL SELECT 'page with another number of hits', sha256('{"collection_id":"events","previous_checkpoint_revision":' || page || '}') FROM hits GROUP BY page HAVING page % 2 = 0""")

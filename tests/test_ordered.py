@@ -71,3 +71,22 @@ def test_neighbours_property(spark, rows):
     window = Window.partitionBy("key").orderBy("n")
     got = O.previous_values(df, ["key"], ["n"], O.number_bucket(F.col("n"), 5), ["value"]).select("key", "n", "prev_value")
     same(got, df.select("key", "n", F.lag("value").over(window)))
+
+
+def test_percentiles_of_close_and_far_values(spark):
+    """Values between 0 and 1, one far value, equal values, negative ones; every rank is exact."""
+    import random
+
+    from docketflow.operators import audit
+
+    random.seed(28)
+    groups = {
+        "close": [random.random() for _ in range(4000)], "far": [*[random.random() / 1e6 for _ in range(2000)], 1e12], "one": [5.0] * 300,
+        "few": [3.0, -7.5], "mixed": [round(random.gauss(0, 3), 2) for _ in range(1500)],
+    }
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in [*vs, None]], "k string, v double").repartition(5)
+    shares = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    got = {r["k"]: r for r in audit.lower_percentiles(df, ["k"], "v", shares).collect()}
+    for k, values in groups.items():
+        ordered = sorted(values)
+        assert [got[k][n] for n in shares] == [ordered[int((len(ordered) - 1) * p)] for p in shares.values()]

@@ -16,7 +16,6 @@ every setting finds the same links.
 from __future__ import annotations
 
 import math
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -121,22 +120,22 @@ def copy_masks(bands: int, distance: int) -> list[list[int]]:
     return [[mask for _, mask in sorted(each)] for each in out]
 
 
-def at_anchors(prints: DataFrame, bands: int, distance: int, home: bool, source: str = "fp") -> DataFrame:
+def at_anchors(prints: DataFrame, bands: int, distance: int, home: bool, source: str = "fp", keep: tuple[str, ...] = ("fp",)) -> DataFrame:
     """Fingerprints ``fp`` at their nearest anchor, or copied to every anchor that can hold a link.
 
-    The anchors are those of ``source``; (fp, anchor) is given.
+    The anchors are those of ``source``; the columns of ``keep`` are given with each.
     """
     width, coded, parity = band_layout(bands)
     masks = copy_masks(bands, distance)
     choices = F.array(*[F.array(*[F.lit(m).cast("long") for m in (each[:1] if home else each)]) for each in masks])
-    out = prints.select("fp", F.col(source).alias("coded"), F.explode(F.array(*[F.lit(b) for b in range(bands)])).alias("band"))
+    out = prints.select(*keep, F.col(source).alias("coded"), F.explode(F.array(*[F.lit(b) for b in range(bands)])).alias("band"))
     word = F.expr(f"shiftrightunsigned(coded, band * {width}) & {2**width - 1}L")
     syndrome = F.lit(0)
     for bit in range(parity):
         members = sum(1 << i for i in range(coded) if (i + 1) >> bit & 1)
         syndrome = syndrome + F.pmod(F.bit_count(word.bitwiseAND(F.lit(members).cast("long"))), F.lit(2)) * (1 << bit)
-    out = out.select("fp", "band", word.alias("word"), F.explode(F.element_at(choices, syndrome + 1)).alias("flips"))
-    return out.select("fp", F.expr(f"shiftleft(CAST(band AS BIGINT), {width}) + (word ^ flips)").alias("anchor"))
+    out = out.select(*keep, "band", word.alias("word"), F.explode(F.element_at(choices, syndrome + 1)).alias("flips"))
+    return out.select(*keep, F.expr(f"shiftleft(CAST(band AS BIGINT), {width}) + (word ^ flips)").alias("anchor"))
 
 
 def linked(prints: DataFrame, distance: int = DISTANCE, bands: int = BANDS) -> DataFrame:
@@ -229,28 +228,37 @@ def expected_bits(similarity: float, bits: int, slack: float) -> int:
     return math.floor(share * bits + slack * math.sqrt(bits * share * (1 - share)))
 
 
+def agreeing(pairs: DataFrame, nodes: DataFrame, similarity: float, size: int) -> DataFrame:
+    """The pairs (a, b) whose whole sketches differ in no more bits than is expected of ``similarity``."""
+    ends = [nodes.select(F.col("fp").alias(n), F.col("sketch").alias(f"{n}_sketch")) for n in ("a", "b")]
+    differing = F.aggregate(F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    whole = expected_bits(similarity, BITS * size, SLACK)
+    return pairs.join(ends[0], "a").join(ends[1], "b").where(differing <= whole).select("a", "b")
+
+
 def alike(nodes: DataFrame, similarity: float = SIMILARITY, size: int = SKETCH, bands: int = BANDS) -> DataFrame:
     """Pairs (a, b), a < b, of first fingerprints whose sketches differ in no more bits than is expected of ``similarity``.
 
     ``nodes`` has (fp, sketch), ``fp`` distinct. Two sketches are compared where one of their ``size * bands`` bands agrees up to one bit:
     each fingerprint of the sketch has anchors of its own. Pairs of less similar sets are found less often, those of
-    more similar ones more often.
+    more similar ones more often. First each node is compared with the smallest one of its own nearest anchors; one that is
+    alike to such a leader is settled by it, and only the others are compared with all they meet. So a group of many copies gives a
+    few links for each of its members, not one for each pair.
     """
-    each = nodes.select("fp", F.posexplode("sketch").alias("k", "value"))
+    def placed(rows: DataFrame, home: bool, name: str) -> DataFrame:
+        each = rows.select(F.col("fp").alias(name), F.posexplode("sketch").alias("k", "value"))
+        found = at_anchors(each, bands, bands, home, "value", (name, "k"))
+        return found.select(name, (F.col("anchor") * size + F.col("k")).alias("anchor"))
 
-    def placed(home: bool, name: str) -> DataFrame:
-        parts = [at_anchors(each.where(F.col("k") == k), bands, bands, home, "value").select(
-            F.col("fp").alias(name), (F.col("anchor") * size + k).alias("anchor")) for k in range(size)]
-        return reduce(DataFrame.unionByName, parts)
-
-    homes, copies = placed(True, "a"), placed(False, "b")
     first = expected_bits(similarity, BITS, FIRST_SLACK)
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= first)
+    homes = placed(nodes, True, "b")
+    leaders = homes.groupBy("anchor").agg(F.min("b").alias("a"))
+    settled = stored(agreeing(homes.join(leaders, "anchor").where(near).select("a", "b").distinct(), nodes, similarity, size))
+    rest = stored(nodes.join(settled.select(F.col("b").alias("fp")).distinct(), "fp", "left_anti"))
+    homes, copies = placed(rest, True, "a"), placed(rest, False, "b")
     met = homes.join(copies, (homes["anchor"] == copies["anchor"]) & near).select("a", "b").distinct()
-    ends = [nodes.select(F.col("fp").alias(n), F.col("sketch").alias(f"{n}_sketch")) for n in ("a", "b")]
-    differing = F.aggregate(F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    whole = expected_bits(similarity, BITS * size, SLACK)
-    return met.join(ends[0], "a").join(ends[1], "b").where(differing <= whole).select("a", "b")
+    return settled.unionByName(agreeing(met, rest, similarity, size))
 
 
 def keep_one(

@@ -251,3 +251,38 @@ def group_fingerprints(members: DataFrame) -> DataFrame:
 def last_activity(*moments: Column) -> Column:
     """The latest of several moments; missing ones are ignored."""
     return F.greatest(*moments)
+
+
+#: What a source query fixes, by kind of value, in key order.
+CRITERIA = {
+    "class_codes": "list", "court_unit_code": "text", "dimension_combination": "text", "filed_from": "date", "filed_to": "date", "movement_codes": "list",
+    "preset_id": "text", "preset_version": "number", "process_number": "text", "subject_codes": "list", "tribunal": "text",
+}
+
+
+def frozen_criteria(requests: DataFrame) -> DataFrame:
+    """Requests with ``criteria``, the snapshot of what they ask for, and ``operation_key``, the hash that tells equal ones.
+
+    ``requests`` has the columns of ``CRITERIA``, ``source``, ``job_type``, and ``sort`` as (field_name, order) pairs; lists keep their order. The
+    snapshot is one canonical JSON text with keys in order, so a later change of a catalog or a window shows as another key.
+    """
+    def text(kind: str, value: Column) -> Column:
+        if kind == "list":
+            spelled = F.concat(F.lit("["), F.array_join(F.transform(value, lambda v: J.quoted(v.cast("string"))), ","), F.lit("]"))
+            return F.coalesce(spelled, F.lit("[]"))
+        plain = value.cast("string")
+        return F.coalesce(plain if kind == "number" else J.quoted(plain), F.lit("null"))
+
+    asked = J.json_object(*[(name, text(kind, F.col(name))) for name, kind in CRITERIA.items()])
+    term = lambda t: J.json_object(("field_name", J.quoted(t["field_name"])), ("order", J.quoted(t["order"])))
+    sort = F.concat(F.lit("["), F.array_join(F.transform("sort", term), ","), F.lit("]"))
+    whole = J.json_object(
+        ("query", asked), ("sort", sort), ("source", J.quoted(F.col("source"))), ("tribunal", J.quoted(F.col("tribunal"))), ("type", J.quoted(F.col("job_type"))),
+    )
+    return requests.withColumn("criteria", whole).withColumn("operation_key", J.content_hash(F.col("criteria")))
+
+
+def criteria_drift(before: DataFrame, now: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Requests of two revisions side by side: criteria and key of now, the key before, and whether they differ."""
+    old = before.select(*keys, F.col("operation_key").alias("previous_key"))
+    return now.join(old, list(keys), "left").withColumn("changed", ~F.col("operation_key").eqNullSafe(F.col("previous_key")))

@@ -401,3 +401,36 @@ def last_activity(spark, sf_dir):
     returned = F.when(F.col("l_returnflag") == "R", F.date_add("l_shipdate", 10))
     out = line.groupBy("l_orderkey").agg(N.last_activity(F.max(F.to_date("l_shipdate")), F.max(returned)).alias("d"))
     return out.select("l_orderkey", F.col("d").cast("string").alias("last_day"))
+
+
+_FROZEN = """WITH asked AS (SELECT n_name, r_name, o_orderdate::DATE AS d, c_mktsegment, o_orderpriority, o_orderkey % 4 AS part FROM orders JOIN customer ON o_custkey = c_custkey
+  JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+text AS (SELECT n_name, k, '{"query":{"class_codes":' || to_json(list(DISTINCT c_mktsegment ORDER BY c_mktsegment)) || ',"court_unit_code":null,"dimension_combination":"and","filed_from":"' || min(d) || '","filed_to":"' || max(d)
+  || '","movement_codes":[],"preset_id":"' || max(r_name) || '","preset_version":1,"process_number":null,"subject_codes":' || to_json(list(DISTINCT o_orderpriority ORDER BY o_orderpriority)) || ',"tribunal":"' || n_name
+  || '"},"sort":[{"field_name":"@timestamp","order":"asc"},{"field_name":"id","order":"asc"}],"source":"synthetic","tribunal":"' || n_name || '","type":"collection"}' AS criteria
+  FROM asked, (VALUES (0), (1)) v(k) WHERE k = 1 OR part > 0 GROUP BY n_name, k)
+SELECT a.n_name, a.criteria, sha256(a.criteria) AS operation_key, sha256(b.criteria) AS previous_key, sha256(a.criteria) IS DISTINCT FROM sha256(b.criteria) AS changed
+FROM text a LEFT JOIN text b ON a.n_name = b.n_name AND b.k = 0 WHERE a.k = 1"""
+
+
+@query("frozen_criteria", _FROZEN)
+def frozen_criteria(spark, sf_dir):
+    """Criteria of each nation from all orders beside those from three quarters of them: window, segments and priorities."""
+    rows = standins.read(spark, sf_dir, "orders").join(standins.read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = rows.join(standins.read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(
+        standins.read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    sort = F.array(*[F.struct(F.lit(name).alias("field_name"), F.lit("asc").alias("order")) for name in ("@timestamp", "id")])
+
+    def frozen(orders):
+        requests = orders.groupBy("n_name").agg(
+            F.array_sort(F.collect_set("c_mktsegment")).alias("class_codes"), F.array_sort(F.collect_set("o_orderpriority")).alias("subject_codes"),
+            F.min(F.col("o_orderdate").cast("date")).alias("filed_from"), F.max(F.col("o_orderdate").cast("date")).alias("filed_to"), F.max("r_name").alias("preset_id"),
+        ).select(
+            "*", F.col("n_name").alias("tribunal"), F.lit(1).alias("preset_version"), F.lit("and").alias("dimension_combination"), F.lit("synthetic").alias("source"),
+            F.lit("collection").alias("job_type"), sort.alias("sort"), F.lit(None).cast("array<string>").alias("movement_codes"),
+            F.lit(None).cast("string").alias("court_unit_code"), F.lit(None).cast("string").alias("process_number"),
+        )
+        return N.frozen_criteria(requests)
+
+    both = N.criteria_drift(frozen(rows.where("o_orderkey % 4 > 0")), frozen(rows), ["n_name"])
+    return both.select("n_name", "criteria", "operation_key", "previous_key", "changed")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from docketflow.plans import standins
 from docketflow.plans.registry import query
 from docketflow.session import ensure_checkpoint_dir
-from docketflow.streaming import page_stream, repairs, stateful
+from docketflow.streaming import events, page_stream, repairs, stateful
 
 
 def _folder(spark) -> str:
@@ -174,6 +174,16 @@ def stream_reprocessed(spark, sf_dir):
     )
 
 
+@query("event_numbers", """SELECT user_id AS run_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 3, ts, event_id) AS event_number FROM events""")
+def event_numbers(spark, sf_dir):
+    """Events of each user, the run, numbered in three batches; the second batch comes twice."""
+    store = page_stream.FactStore(f"{_folder(spark)}/facts")
+    rows = standins.read(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("ts").cast("timestamp").alias("moment"), "event_id", "event_type")
+    for part in (0, 1, 1, 2):
+        events.append_events(rows.where(F.col("event_id") % 3 == part), f"part {part}", store)
+    return events.numbered_events(spark, store).select("run_id", "event_id", "event_type", "event_number")
+
+
 @query("stateful_diff", """WITH daily AS (SELECT user_id, event_type, date_trunc('day', ts) AS d, count(*) AS n FROM events GROUP BY 1, 2, 3)
 SELECT user_id::VARCHAR AS representation_id, event_type AS content_sha256, max(n) AS ordinals FROM daily GROUP BY 1, 2""")
 def stateful_diff(spark, sf_dir):

@@ -226,3 +226,33 @@ def test_reprocessing_writes_and_keeps_newer_projections(spark, tmp_path):
     other = mended.where("hit_ordinal = 3").withColumn("hit", F.lit(hits[3]["hit"].replace('"3"', f'"{good[:-1]}2"').replace("worse", "fine")))
     with pytest.raises(page_stream.ReplayConflict, match="two case numbers"):
         repairs.reprocess(spark, out, "conflict", other)
+
+
+def test_event_numbers_go_on_over_batches(spark, tmp_path):
+    from docketflow.streaming import events
+
+    out = page_stream.FactStore(str(tmp_path / "facts"))
+    batches = [[("a", 3, 1), ("a", 1, 2), ("b", 9, 3)], [("a", 0, 4), ("c", 5, 5), ("a", 0, 6)], [], [("b", 1, 7)]]
+    for n in (0, 1, 1, 2, 3, 0):
+        rows = [(r, DAY + dt.timedelta(days=d), i) for r, d, i in batches[n]]
+        events.append_events(spark.createDataFrame(rows, "run_id string, moment timestamp, event_id long"), f"b{n}", out)
+    got = {r["event_id"]: (r["run_id"], r["event_number"]) for r in events.numbered_events(spark, out).collect()}
+    assert got == {2: ("a", 1), 1: ("a", 2), 3: ("b", 1), 4: ("a", 3), 6: ("a", 4), 5: ("c", 1), 7: ("b", 2)}
+
+
+def test_collection_progress(spark, tmp_path):
+    """Sums of batches, a budget, rejections, an empty last page; a replay adds nothing."""
+    out = page_stream.FactStore(str(tmp_path / "facts"))
+    page_stream.ingest_batch(pages(spark, [[source("a"), source("bad", number="1")], [source("c")]]), "one", out)
+    page_stream.ingest_batch(pages(spark, [[source("x")]], collection="c2"), "two", out)
+
+    def state(budget=None):
+        names = ["collection_id", "pages_confirmed", "hits_confirmed", "valid_hits", "rejected_hits", "checkpoint_revision", "source_total", "query_status", "coverage"]
+        return sorted(tuple(r) for r in page_stream.collection_progress(spark, out, budget).select(*names).collect())
+
+    assert state() == [("c1", 2, 3, 2, 1, 2, 1, "running", None), ("c2", 1, 1, 1, 0, 1, 1, "running", None)]
+    assert state(3)[0][-2:] == ("limit", "partial")
+    ends = pages(spark, [[]], 2).unionByName(pages(spark, [[]], 1, "c2"))
+    for name in ("ends", "ends again"):
+        page_stream.ingest_batch(ends, name, out)
+    assert state() == [("c1", 3, 3, 2, 1, 3, 1, "exhausted", "partial"), ("c2", 2, 1, 1, 0, 2, 1, "exhausted", "complete")]

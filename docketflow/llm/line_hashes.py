@@ -37,7 +37,7 @@ SEPARATORS = {
     "clause": r"\n|(?<=[.!?,;:])\s+|(?<=[。！？，；：])",
 }
 #: Units that a task sends at once.
-BLOCK = 1 << 17
+BLOCK = 1 << 14
 
 
 def normalised(unit: str) -> list[str]:

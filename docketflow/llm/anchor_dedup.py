@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketflow.llm.registry import query, table
@@ -40,6 +40,8 @@ SKETCH = 5
 #: Standard deviations by which the bits of a pair may differ from what is expected of its similarity.
 SLACK = 1.3
 FIRST_SLACK = 3.5
+#: Nodes that crowd an anchor, besides as many times the mean of all anchors.
+CROWD = 8
 #: Shingles whose bits are counted at once; bounds the memory of very long texts.
 BLOCK = 1 << 16
 
@@ -228,12 +230,16 @@ def expected_bits(similarity: float, bits: int, slack: float) -> int:
     return math.floor(share * bits + slack * math.sqrt(bits * share * (1 - share)))
 
 
+def differing(a: str, b: str, size: int) -> Column:
+    """Bits in which two sketches, columns ``a`` and ``b``, differ."""
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(size)), F.lit(0))
+
+
 def agreeing(pairs: DataFrame, nodes: DataFrame, similarity: float, size: int) -> DataFrame:
     """The pairs (a, b) whose whole sketches differ in no more bits than is expected of ``similarity``."""
     ends = [nodes.select(F.col("fp").alias(n), F.col("sketch").alias(f"{n}_sketch")) for n in ("a", "b")]
-    differing = F.aggregate(F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     whole = expected_bits(similarity, BITS * size, SLACK)
-    return pairs.join(ends[0], "a").join(ends[1], "b").where(differing <= whole).select("a", "b")
+    return pairs.join(ends[0], "a").join(ends[1], "b").where(differing("a_sketch", "b_sketch", size) <= whole).select("a", "b")
 
 
 def alike(nodes: DataFrame, similarity: float = SIMILARITY, size: int = SKETCH, bands: int = BANDS) -> DataFrame:
@@ -241,24 +247,39 @@ def alike(nodes: DataFrame, similarity: float = SIMILARITY, size: int = SKETCH,
 
     ``nodes`` has (fp, sketch), ``fp`` distinct. Two sketches are compared where one of their ``size * bands`` bands agrees up to one bit:
     each fingerprint of the sketch has anchors of its own. Pairs of less similar sets are found less often, those of
-    more similar ones more often. First each node is compared with the smallest one of its own nearest anchors; one that is
-    alike to such a leader is settled by it, and only the others are compared with all they meet. So a group of many copies gives a
-    few links for each of its members, not one for each pair.
+    more similar ones more often. First each node is compared with the smallest one of its own nearest anchors; then every
+    two nodes that meet and aren't yet in one component are compared, whatever they are linked to already. So the pairs have the components of
+    all links, and a group of many copies gives a few links for each of its members, not one for each pair.
     """
-    def placed(rows: DataFrame, home: bool, name: str) -> DataFrame:
-        each = rows.select(F.col("fp").alias(name), F.posexplode("sketch").alias("k", "value"))
-        found = at_anchors(each, bands, bands, home, "value", (name, "k"))
-        return found.select(name, (F.col("anchor") * size + F.col("k")).alias("anchor"))
+    def placed(rows: DataFrame, home: bool, name: str, keep: tuple[str, ...] = ()) -> DataFrame:
+        each = rows.select(F.col("fp").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in keep], F.posexplode("sketch").alias("k", "value"))
+        names = (name, *[f"{name}_{c}" for c in keep])
+        found = at_anchors(each, bands, bands, home, "value", (*names, "k"))
+        return found.select(*names, (F.col("anchor") * size + F.col("k")).alias("anchor"))
 
     first = expected_bits(similarity, BITS, FIRST_SLACK)
+    whole = expected_bits(similarity, BITS * size, SLACK)
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= first)
-    homes = placed(nodes, True, "b")
-    leaders = homes.groupBy("anchor").agg(F.min("b").alias("a"))
-    settled = stored(agreeing(homes.join(leaders, "anchor").where(near).select("a", "b").distinct(), nodes, similarity, size))
-    rest = stored(nodes.join(settled.select(F.col("b").alias("fp")).distinct(), "fp", "left_anti"))
-    homes, copies = placed(rest, True, "a"), placed(rest, False, "b")
-    met = homes.join(copies, (homes["anchor"] == copies["anchor"]) & near).select("a", "b").distinct()
-    return settled.unionByName(agreeing(met, rest, similarity, size))
+    homes = stored(placed(nodes, True, "b"))
+    sizes = homes.groupBy("anchor").agg(F.min("b").alias("a"), F.count("*").alias("n"))
+    settled = stored(agreeing(homes.join(sizes.where("n > 1"), "anchor").where(near).select("a", "b").distinct(), nodes, similarity, size))
+
+    # Nodes of crowded anchors meet each other with their whole sketches, so that only links leave that join.
+    width, _, parity = band_layout(bands)
+    crowd = CROWD + CROWD * nodes.count() // 2 ** (width - parity)
+    crowded = homes.join(sizes.where(F.col("n") >= crowd), "anchor").select(F.col("b").alias("fp"), F.lit(True).alias("c")).distinct()
+    stars = components(settled).select(F.col("node").alias("fp"), "root")
+    rooted = nodes.join(stars, "fp", "left").join(crowded, "fp", "left")
+    rooted = stored(rooted.select("fp", "sketch", F.coalesce("root", "fp").alias("root"), F.coalesce("c", F.lit(False)).alias("c")))
+
+    def meeting(rows: DataFrame, keep: tuple[str, ...], more: Column) -> DataFrame:
+        ends = placed(rows, True, "a", keep), placed(rows, False, "b", keep)
+        apart = near & (F.col("a_root") != F.col("b_root")) & more
+        return ends[0].join(ends[1], (ends[0]["anchor"] == ends[1]["anchor"]) & apart).select("a", "b").distinct()
+
+    others = meeting(rooted, ("root", "c"), ~(F.col("a_c") & F.col("b_c")))
+    inside = meeting(rooted.where("c"), ("root", "sketch"), differing("a_sketch", "b_sketch", size) <= whole)
+    return settled.unionByName(agreeing(others, nodes, similarity, size)).unionByName(inside)
 
 
 def keep_one(

@@ -147,3 +147,39 @@ def test_large_group_of_near_copies(spark):
     words = [f"w{random.randrange(4000)}" for _ in range(300)]
     rows = [(n, " ".join(words[:n % 300] + [f"v{n}"] + words[n % 300:])) for n in range(800)]
     assert [r["doc_id"] for r in op.keep_one(documents(spark, rows)).collect()] == [0]
+
+
+def test_no_link_is_lost_to_a_leader(spark):
+    """Members that a leader has settled keep their links to others: the components are those of all links."""
+    random.seed(8)
+    first, whole = op.expected_bits(op.SIMILARITY, 64, op.FIRST_SLACK), op.expected_bits(op.SIMILARITY, 64 * op.SKETCH, op.SLACK)
+    sketches = {}
+    for _ in range(6):
+        base = [random.getrandbits(64) for _ in range(op.SKETCH)]
+        for _ in range(70):
+            own = list(base)
+            for bit in random.sample(range(64 * op.SKETCH), random.randrange(24, 44)):
+                own[bit // 64] ^= 1 << bit % 64
+            own = [v - (1 << 64) if v >> 63 else v for v in own]
+            sketches[own[0]] = own
+    nodes = spark.createDataFrame(list(sketches.items()), "fp long, sketch array<long>")
+    found = op.alike(nodes).collect()
+    root = {fp: fp for fp in sketches}
+    for a, b in found:
+        old, new = root[b], root[a]
+        root = {k: new if v == old else v for k, v in root.items()}
+
+    def apart(a, b):
+        return [(x ^ y) & (2**64 - 1) for x, y in zip(sketches[a], sketches[b])]
+
+    def is_near(x):
+        return x[0].bit_count() <= first and sum(v.bit_count() for v in x) <= whole
+
+    assert all(a < b and is_near(apart(a, b)) for a, b in found)
+    lost = 0
+    for a in sketches:
+        for b in sketches:
+            x = apart(a, b)
+            if a < b and is_near(x) and any((v >> 21 * k & 0x1FFFFF).bit_count() <= 1 for v in x for k in range(3)):
+                lost += root[a] != root[b]
+    assert not lost

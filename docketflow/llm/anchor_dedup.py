@@ -42,6 +42,8 @@ SLACK = 1.3
 FIRST_SLACK = 3.5
 #: Nodes that crowd an anchor, besides as many times the mean of all anchors.
 CROWD = 8
+#: Edges that one task may join to components.
+ONE_TASK = 1 << 18
 #: Shingles whose bits are counted at once; bounds the memory of very long texts.
 BLOCK = 1 << 16
 
@@ -177,20 +179,25 @@ def _digest(edges: DataFrame):
     return edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, most: int = ONE_TASK) -> DataFrame:
     """Edges (a, b) turned into stars (root, node): root is the smallest node of the component.
 
-    Alternating large and small stars: every round halves the depth, and each node's rows are reduced
-    to its smallest neighbour before they are joined. Rounds end in a reliable checkpoint.
+    Where the forests of all tasks have ``most`` edges or fewer, one task joins them. Otherwise alternating
+    large and small stars: every round halves the depth, and each node's rows are reduced
+    to its smallest neighbour before they are joined. Rounds end in a reliable checkpoint; their joins are
+    merged, since each broadcast would pass through the driver.
     """
     edges = cut_lineage(edges.mapInPandas(_local_forest, "a long, b long").distinct())
+    if edges.limit(most + 1).count() <= most:
+        stars = edges.coalesce(1).mapInPandas(_local_forest, "a long, b long")
+        return cut_lineage(stars).select(F.col("a").alias("root"), F.col("b").alias("node"))
     before = _digest(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root"))
-        large = both.join(least, "a").where("b > a").select(F.col("root").alias("a"), "b").where("a <> b").distinct()
+        large = both.join(least.hint("merge"), "a").where("b > a").select(F.col("root").alias("a"), "b").where("a <> b").distinct()
         down = large.groupBy("b").agg(F.min("a").alias("root"))
-        met = large.join(down, "b")
+        met = large.join(down.hint("merge"), "b")
         small = met.select(F.col("root").alias("a"), "b").unionByName(
             met.where("a <> root").select(F.col("root").alias("a"), F.col("a").alias("b"))
         )

@@ -183,3 +183,16 @@ def test_no_link_is_lost_to_a_leader(spark):
             if a < b and is_near(x) and any((v >> 21 * k & 0x1FFFFF).bit_count() <= 1 for v in x for k in range(3)):
                 lost += root[a] != root[b]
     assert not lost
+
+
+@pytest.mark.parametrize("most", [0, 20, 1000])
+def test_components_by_rounds_and_by_one_task(spark, most):
+    random.seed(9)
+    edges = [tuple(sorted(random.sample(range(-300, 300), 2))) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1050)]
+    least = {n: n for e in edges for n in e}
+    for a, b in edges:
+        new, old = sorted((least[a], least[b]))
+        least = {k: new if v == old else v for k, v in least.items()}
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    got = {r["node"]: r["root"] for r in op.components(frame, most).collect()}
+    assert got == {n: r for n, r in least.items() if n != r}

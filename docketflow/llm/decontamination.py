@@ -17,6 +17,8 @@ from docketflow.llm.rows import bound, key_filter, lower_ascii, may_hold
 from docketflow.session import stored
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words before A-Z are lowered.
+RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 
 
@@ -24,6 +26,11 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
+def raw_words_of(text: Column) -> Column:
+    """The words of a text as they are written; :func:`lower_ascii` of each is the word."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(RAW_WORD), F.lit(0))
+
+
 def digest_of(text: Column) -> Column:
     """16 bytes of the SHA-256 of a text; null counts as empty."""
     return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32))
@@ -48,7 +55,8 @@ def anchors_of(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     distinct = phrases.select("phrase", "n").distinct()
     spelled = distinct.select("phrase", "n", F.posexplode(F.split("phrase", " ")).alias("offset", "term"))
     vocabulary = stored(spelled.select("term").distinct())
-    held = texts.select(F.explode(words_of(F.col("text"))).alias("term")).where(may_hold(key_filter(vocabulary, "term"), F.col("term")))
+    spoken = texts.select(F.explode(raw_words_of(F.col("text"))).alias("term")).select(lower_ascii(F.col("term")).alias("term"))
+    held = spoken.where(may_hold(key_filter(vocabulary, "term"), F.col("term")))
     counts = vocabulary.join(held.groupBy("term").agg(F.count("*").alias("freq")), "term", "left").na.fill(0, ["freq"])
     ranked = spelled.join(counts, "term").groupBy("phrase", "n").agg(F.array_sort(F.collect_list(F.struct("freq", "term", "offset"))).alias("r"))
     second = F.element_at("r", F.least(F.lit(2), F.size("r")))
@@ -60,8 +68,8 @@ def anchors_of(texts: DataFrame, phrases: DataFrame) -> DataFrame:
 
 def postings_of(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, digest, position) of the given terms in all texts; copies of a text are listed once."""
-    spelled = texts.select(digest_of(F.col("text")).alias("digest"), F.posexplode(words_of(F.col("text"))).alias("position", "term"))
-    near = spelled.where(may_hold(key_filter(terms, "term"), F.col("term")))
+    spelled = texts.select(digest_of(F.col("text")).alias("digest"), F.posexplode(raw_words_of(F.col("text"))).alias("position", "term"))
+    near = spelled.withColumn("term", lower_ascii(F.col("term"))).where(may_hold(key_filter(terms, "term"), F.col("term")))
     return near.groupBy("term", "digest", "position").agg(F.lit(1).alias("one")).drop("one").join(terms, "term", "left_semi")
 
 
@@ -138,7 +146,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_column: str = "doc_id",
     found = covered.join(named, "digest", "left")
     rows = docs.select(
         F.col(id_column).alias("doc_id"), digest_of(F.col(text)).alias("digest"),
-        F.regexp_count(lower_ascii(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD)).cast("long").alias("n_words"),
+        F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(RAW_WORD)).cast("long").alias("n_words"),
     )
     zero = F.lit(0).cast("long")
     return rows.join(found, "digest", "left").select(

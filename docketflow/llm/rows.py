@@ -37,7 +37,9 @@ def free_name(df: DataFrame, name: str) -> str:
 
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case; every other character stays as it is."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    # Where all characters are ASCII, lower() does the same and takes far less time.
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -90,3 +90,11 @@ def test_proximity(spark):
     gaps = {r["gap"] for r in index.proximity(1).collect()}
     assert gaps <= {-1, 0, 1} and 0 in gaps and len(gaps) > 1
     assert index.proximity(0).select(F.col("digest")).distinct().count() <= index.proximity(2).select("digest").distinct().count()
+
+
+def test_words_are_lowered_one_by_one(spark):
+    """Only A-Z are lowered, in texts of ASCII and others; words taken before lowering are the same."""
+    given = [(1, "Plain ASCII, with 3 WORDS"), (2, "ÉCOLE École İstanbul STRAẞE ΣΊΣΥΦΟΣ ABCé"), (3, "\U0001f600 Ünï\x00Z\x7f"), (4, ""), (5, None)]
+    own = F.transform(op.raw_words_of(F.col("text")), op.lower_ascii)
+    for r in documents(spark, given).select("text", own.alias("own"), op.words_of(F.col("text")).alias("w")).collect():
+        assert r["own"] == r["w"] == words(r["text"])

@@ -36,7 +36,8 @@ def words_of(text: Column) -> Column:
 def forms_of(text: Column) -> Column:
     """The text with each run of capitals, other letters and digits as one sign."""
     out = F.regexp_replace(text, r"\p{Lu}+", "A")
-    out = F.regexp_replace(out, r"[\p{L}\p{M}&&[^A]]+", "a")
+    # No other capital is left, so these are all letters and marks but A.
+    out = F.regexp_replace(out, r"[a-z\p{Ll}\p{Lo}\p{Lm}\p{Lt}\p{M}]+", "a")
     return F.regexp_replace(out, r"\p{N}+", "0")
 
 
@@ -44,32 +45,25 @@ def hashes_of(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def neighbours(values: Column, step: int, of) -> Column:
-    """``of`` each value and the one ``step`` places on."""
-    size = F.greatest(F.size(values) - step, F.lit(0))
-    return F.zip_with(F.slice(values, 1, size), F.slice(values, 1 + step, size), of)
-
-
-def grams_of(words: Column, text: Column, buckets: int = BUCKETS) -> Column:
-    """The bucket of every n-gram: words below ``buckets``, a power of two, and pairs of forms from there on."""
+def grams_of(hashes: Column, text: Column, buckets: int = BUCKETS) -> Column:
+    """The bucket of every n-gram: words, given by their hashes, below ``buckets``, a power of two, and pairs of forms from there on."""
     mask = F.lit(buckets - 1).cast("long")
 
-    def pairs(hashes: Column, forms: Column) -> Column:
-        both = neighbours(forms, 1, lambda a, b: F.xxhash64(a, b))
-        same = neighbours(hashes, 1, lambda a, b: a == b)
-        mixed = F.zip_with(both, same, lambda p, s: F.when(s, F.bitwise_not(p)).otherwise(p))
-        return F.transform(mixed, lambda p: (p.bitwiseAND(mask) + buckets).cast("int"))
+    def pairs(forms: Column) -> Column:
+        def one(form: Column, i: Column) -> Column:
+            both = F.xxhash64(form, F.get(forms, i + 1))
+            mixed = F.when(F.get(hashes, i) == F.get(hashes, i + 1), F.bitwise_not(both)).otherwise(both)
+            return (mixed.bitwiseAND(mask) + buckets).cast("int")
 
-    def all_of(hashes: Column) -> Column:
-        single = F.transform(hashes, lambda w: w.bitwiseAND(mask).cast("int"))
-        return F.concat(single, bound(hashes_of(words_of(forms_of(text))), lambda forms: pairs(hashes, forms)))
+        return F.transform(F.slice(forms, 1, F.greatest(F.size(forms) - 1, F.lit(0))), one)
 
-    return bound(hashes_of(words), all_of)
+    single = F.transform(hashes, lambda w: w.bitwiseAND(mask).cast("int"))
+    return F.concat(single, bound(hashes_of(words_of(forms_of(text))), pairs))
 
 
 def buckets_of(text: Column, buckets: int = BUCKETS) -> Column:
     """The buckets of a text's n-grams."""
-    return grams_of(words_of(text), text, buckets)
+    return bound(hashes_of(words_of(text)), lambda hashes: grams_of(hashes, text, buckets))
 
 
 def log_ratios(raw: DataFrame, target: DataFrame, text: str = "text", buckets: int = BUCKETS, prior: float = PRIOR) -> Column:
@@ -93,24 +87,19 @@ def log_ratios(raw: DataFrame, target: DataFrame, text: str = "text", buckets: i
     return rated.agg(F.transform(rows, lambda r: r["v"]).alias("ratios")).scalar()
 
 
-def score(words: Column, text: Column, ratios: Column, buckets: int = BUCKETS) -> Column:
+def score(hashes: Column, text: Column, ratios: Column, buckets: int = BUCKETS) -> Column:
     """Mean log ratio of the text's n-grams; zero without any."""
     def mean(found: Column) -> Column:
-        total = F.aggregate(found, F.lit(0.0), lambda acc, b: acc + F.element_at(ratios, b + 1))
+        total = F.aggregate(found, F.lit(0.0), lambda acc, b: acc + F.get(ratios, b))
         return F.when(F.size(found) > 0, total / F.size(found)).otherwise(F.lit(0.0))
 
-    return bound(grams_of(words, text, buckets), mean)
-
-
-def joined(hashes: Column, step: int) -> Column:
-    """Hashes of twice as many words from hashes of ``step`` words."""
-    return bound(hashes, lambda h: neighbours(h, step, lambda a, b: F.xxhash64(a, b)))
+    return bound(grams_of(hashes, text, buckets), mean)
 
 
-def repeated_words(words: Column, window: int = WINDOW) -> Column:
+def repeated_words(words: Column, hashes: Column, window: int = WINDOW) -> Column:
     """Words inside windows that occur twice or more in the list, first occurrences included.
 
-    ``window`` is a power of two.
+    ``hashes`` are those of the words.
     """
     none = F.lit(0).cast("long")
 
@@ -140,10 +129,8 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
         return bound(F.array_sort(windows(lambda w: F.array_join(w, " "))), lambda o: bound(starts_of(o), covered))
 
     def hashed() -> Column:
-        out, step = hashes_of(words), 1
-        while step < window:
-            out, step = joined(out, step), 2 * step
-        return out
+        starts = F.slice(hashes, 1, F.size(hashes) - window + 1)
+        return F.transform(starts, lambda h, i: F.xxhash64(h, *[F.get(hashes, i + k) for k in range(1, window)]))
 
     # Equal windows have equal hashes, so only rows with an equal hash are looked at in full.
     some = bound(hashed(), lambda h: F.size(F.array_distinct(h)) < F.size(h))
@@ -164,12 +151,12 @@ def judged(docs: DataFrame, target: DataFrame, id_column: str = "doc_id", text:
     """
     ratios = log_ratios(docs, target, text)
     source = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    # The words are taken once for all rules and the score.
+    # The words and their hashes are taken once for all rules and the score.
     def rules(words: Column) -> Column:
-        return F.struct(
+        return bound(hashes_of(words), lambda hashes: F.struct(
             F.size(words).cast("long").alias("n_words"), F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
-            repeated_words(words).alias("n_repeat_words"), score(words, F.col("text"), F.col("ratios")).alias("score"),
-        )
+            repeated_words(words, hashes).alias("n_repeat_words"), score(hashes, F.col("text"), F.col("ratios")).alias("score"),
+        ))
 
     # The ratios are one value of fixed size, named once so that the optimizer puts it into the expression.
     out = computed_once(source.withColumn("ratios", ratios).select(

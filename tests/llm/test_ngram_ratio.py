@@ -83,3 +83,15 @@ def test_scores_are_means_of_log_ratios(spark):
     want = sorted(round(sum(map(ratio, g)) / len(g), 6) if g else 0.0 for g in grams["raw"])
     got = sorted(round(r["score"], 6) for r in op.judged(docs, target).collect())
     assert all(abs(a - b) < 2e-6 for a, b in zip(want, got))
+
+
+def test_forms_and_pairs(spark):
+    """A sign for each run of capitals, other letters and marks, and digits; pairs of equal words have buckets of their own."""
+    given = [(1, "Ab ÉCole ǅx ªb é́ ́A 一二 ٣4Ⅷ aAAa9b"), (2, "ab ab cd ab ab"), (3, "one"), (4, "")]
+    forms = documents(spark, given).select("doc_id", op.forms_of(op.F.col("text")).alias("f")).collect()
+    old = op.F.regexp_replace(op.F.regexp_replace(op.F.regexp_replace("text", r"\p{Lu}+", "A"), r"[\p{L}\p{M}&&[^A]]+", "a"), r"\p{N}+", "0")
+    assert sorted(map(tuple, forms)) == sorted(map(tuple, documents(spark, given).select("doc_id", old).collect()))
+    found = {r["doc_id"]: r["b"] for r in documents(spark, given).select("doc_id", op.buckets_of(op.F.col("text")).alias("b")).collect()}
+    assert {k: len(b) for k, b in found.items()} == {1: 17, 2: 9, 3: 1, 4: 0}
+    first, second, third, fourth = found[2][5:]
+    assert first == fourth != second == third >= op.BUCKETS

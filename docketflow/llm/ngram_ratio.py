@@ -45,17 +45,21 @@ def hashes_of(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def neighbours(values: Column, step: int, of) -> Column:
+    """``of`` each value and the one ``step`` places on."""
+    size = F.greatest(F.size(values) - step, F.lit(0))
+    return F.zip_with(F.slice(values, 1, size), F.slice(values, 1 + step, size), of)
+
+
 def grams_of(hashes: Column, text: Column, buckets: int = BUCKETS) -> Column:
     """The bucket of every n-gram: words, given by their hashes, below ``buckets``, a power of two, and pairs of forms from there on."""
     mask = F.lit(buckets - 1).cast("long")
 
     def pairs(forms: Column) -> Column:
-        def one(form: Column, i: Column) -> Column:
-            both = F.xxhash64(form, F.get(forms, i + 1))
-            mixed = F.when(F.get(hashes, i) == F.get(hashes, i + 1), F.bitwise_not(both)).otherwise(both)
-            return (mixed.bitwiseAND(mask) + buckets).cast("int")
-
-        return F.transform(F.slice(forms, 1, F.greatest(F.size(forms) - 1, F.lit(0))), one)
+        both = neighbours(forms, 1, lambda a, b: F.xxhash64(a, b))
+        same = neighbours(hashes, 1, lambda a, b: a == b)
+        mixed = F.zip_with(both, same, lambda p, s: F.when(s, F.bitwise_not(p)).otherwise(p))
+        return F.transform(mixed, lambda p: (p.bitwiseAND(mask) + buckets).cast("int"))
 
     single = F.transform(hashes, lambda w: w.bitwiseAND(mask).cast("int"))
     return F.concat(single, bound(hashes_of(words_of(forms_of(text))), pairs))
@@ -90,16 +94,21 @@ def log_ratios(raw: DataFrame, target: DataFrame, text: str = "text", buckets: i
 def score(hashes: Column, text: Column, ratios: Column, buckets: int = BUCKETS) -> Column:
     """Mean log ratio of the text's n-grams; zero without any."""
     def mean(found: Column) -> Column:
-        total = F.aggregate(found, F.lit(0.0), lambda acc, b: acc + F.get(ratios, b))
+        total = F.aggregate(found, F.lit(0.0), lambda acc, b: acc + F.element_at(ratios, b + 1))
         return F.when(F.size(found) > 0, total / F.size(found)).otherwise(F.lit(0.0))
 
     return bound(grams_of(hashes, text, buckets), mean)
 
 
+def joined(hashes: Column, step: int) -> Column:
+    """Hashes of twice as many words from hashes of ``step`` words."""
+    return bound(hashes, lambda h: neighbours(h, step, lambda a, b: F.xxhash64(a, b)))
+
+
 def repeated_words(words: Column, hashes: Column, window: int = WINDOW) -> Column:
     """Words inside windows that occur twice or more in the list, first occurrences included.
 
-    ``hashes`` are those of the words.
+    ``hashes`` are those of the words; ``window`` is a power of two.
     """
     none = F.lit(0).cast("long")
 
@@ -129,8 +138,10 @@ def repeated_words(words: Column, hashes: Column, window: int = WINDOW) -> Colum
         return bound(F.array_sort(windows(lambda w: F.array_join(w, " "))), lambda o: bound(starts_of(o), covered))
 
     def hashed() -> Column:
-        starts = F.slice(hashes, 1, F.size(hashes) - window + 1)
-        return F.transform(starts, lambda h, i: F.xxhash64(h, *[F.get(hashes, i + k) for k in range(1, window)]))
+        out, step = hashes, 1
+        while step < window:
+            out, step = joined(out, step), 2 * step
+        return out
 
     # Equal windows have equal hashes, so only rows with an equal hash are looked at in full.
     some = bound(hashed(), lambda h: F.size(F.array_distinct(h)) < F.size(h))

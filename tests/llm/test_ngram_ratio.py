@@ -95,3 +95,27 @@ def test_forms_and_pairs(spark):
     assert {k: len(b) for k, b in found.items()} == {1: 17, 2: 9, 3: 1, 4: 0}
     first, second, third, fourth = found[2][5:]
     assert first == fourth != second == third >= op.BUCKETS
+
+
+def test_marked_rows_count_once_for_both(spark):
+    """All rows with one pass over their n-grams give what a target of its own gives: ids may repeat or be null."""
+    docs = documents(spark, [*awkward(), *EXTRA, (43, "another text of the same id"), (None, "a row without an id")])
+    given = labels(spark, [(7, 1, 0), (43, 1, 0), (43, 1, 0), (None, 1, 0), (41, 1, 0), (41, 0, 0), (42, 1, 1), (999, 1, 0)])
+    once = op.marked(docs, given)
+    assert once.count() == docs.count() and once.where("raw <> 1").count() == 0
+    good = op.trusted(docs, given).select("text")
+    assert sorted(map(str, once.where("target = 1").select("text").collect())) == sorted(map(str, good.collect()))
+    want = op.judged(docs, op.trusted(docs, given)).collect()
+    assert sorted(map(str, op.scored(docs, op.log_ratios(once)).collect())) == sorted(map(str, want))
+
+
+def test_repeats_as_hashes_of_half_windows_find_them(spark):
+    """Windows next to, over and apart from each other, and texts whose half windows alone repeat."""
+    window = "a b c d e f g h"
+    texts = [
+        f"{window} {window}", f"x {window} y z {window}", "a " * 8, "a " * 9, "a b " * 5, "a b c " * 4, f"{window} a b c d e f g",
+        " ".join(f"a b c d {i}" for i in range(30)), " ".join(f"a b c d e f g {i}" for i in range(9)), "a b c", "", f"{window} 1 b c d e f g h",
+    ]
+    rows = spark.createDataFrame([(i, t.split()) for i, t in enumerate(texts)], "i int, words array<string>")
+    got = {r["i"]: r["n"] for r in op.with_repeated_words(rows, "words", "n").collect()}
+    assert got == {i: base(t)[4] for i, t in enumerate(texts)}

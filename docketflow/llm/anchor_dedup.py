@@ -151,7 +151,8 @@ def linked(prints: DataFrame, distance: int = DISTANCE, bands: int = BANDS) -> D
     homes = at_anchors(prints, bands, distance, True).withColumnRenamed("fp", "a")
     copies = at_anchors(prints, bands, distance, False).withColumnRenamed("fp", "b")
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
-    return homes.join(copies, (homes["anchor"] == copies["anchor"]) & near).select("a", "b")
+    # Spark takes the copies to be no larger than the fingerprints they are made of, and would broadcast them.
+    return homes.join(copies.hint("merge"), (homes["anchor"] == copies["anchor"]) & near).select("a", "b")
 
 
 def _local_forest(frames):
@@ -282,7 +283,7 @@ def alike(nodes: DataFrame, similarity: float = SIMILARITY, size: int = SKETCH,
     def meeting(rows: DataFrame, keep: tuple[str, ...], more: Column) -> DataFrame:
         ends = placed(rows, True, "a", keep), placed(rows, False, "b", keep)
         apart = near & (F.col("a_root") != F.col("b_root")) & more
-        return ends[0].join(ends[1], (ends[0]["anchor"] == ends[1]["anchor"]) & apart).select("a", "b").distinct()
+        return ends[0].join(ends[1].hint("merge"), (ends[0]["anchor"] == ends[1]["anchor"]) & apart).select("a", "b").distinct()
 
     others = meeting(rooted, ("root", "c"), ~(F.col("a_c") & F.col("b_c")))
     inside = meeting(rooted.where("c"), ("root", "sketch"), differing("a_sketch", "b_sketch", size) <= whole)

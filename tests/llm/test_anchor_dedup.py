@@ -196,3 +196,12 @@ def test_components_by_rounds_and_by_one_task(spark, most):
     frame = spark.createDataFrame(edges, "a long, b long").repartition(5)
     got = {r["node"]: r["root"] for r in op.components(frame, most).collect()}
     assert got == {n: r for n, r in least.items() if n != r}
+
+
+def test_exploded_copies_are_never_broadcast(spark, tmp_path):
+    """Their size is taken for that of the rows before the explode, so a broadcast may hold many times what it is planned for."""
+    path = str(tmp_path / "nodes")
+    spark.range(50).select((F.col("id") * 0x9E3779B9).alias("fp"), F.array([F.col("id") * k for k in (3, 5, 7, 11, 13)]).alias("sketch")).write.parquet(path)
+    nodes = spark.read.parquet(path)
+    plan = op.linked(nodes.select("fp"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

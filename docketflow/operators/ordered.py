@@ -36,8 +36,8 @@ def _key_columns(keys: Sequence[str]) -> list[Column]:
     return [F.col(key) for key in keys]
 
 
-def _bucketed(df: DataFrame, keys: Sequence[str], bucket: Column) -> DataFrame:
-    """The rows with their bucket where their key has many rows, and NULL where one task takes the whole key.
+def _bucketed(df: DataFrame, keys: Sequence[str], bucket: Column, whole: Column) -> DataFrame:
+    """The rows with their bucket where their key has many rows, and ``whole`` where one task takes the whole key.
 
     Nearly all keys are small, and need no carry rows. There are at most rows / ``WHOLE`` others, which are broadcast.
     """
@@ -45,7 +45,7 @@ def _bucketed(df: DataFrame, keys: Sequence[str], bucket: Column) -> DataFrame:
     hot = F.broadcast(many.select(*[F.col(key).alias(f"__k_{n}") for n, key in enumerate(keys)], _HOT))
     same = [F.col(key).eqNullSafe(F.col(f"__k_{n}")) for n, key in enumerate(keys)]
     found = df.join(hot, same, "left")
-    return found.select(*df.columns, F.when(F.col(_HOT).isNotNull(), bucket).alias(_BUCKET), F.col(_HOT).isNotNull().alias(_HOT))
+    return found.select(*df.columns, F.when(F.col(_HOT).isNotNull(), bucket).otherwise(whole).alias(_BUCKET), F.col(_HOT).isNotNull().alias(_HOT))
 
 
 def _union_carry(df: DataFrame, carry: DataFrame) -> DataFrame:
@@ -84,7 +84,9 @@ def _neighbour_values(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,
     values: Sequence[str], prefix: str, forward: bool,
 ) -> DataFrame:
-    placed = _bucketed(df, keys, bucket)
+    # Nothing is carried back to rows without a bucket, whether their key is cut or not.
+    whole = F.when(bucket.isNotNull(), F.lit(0).cast("long")) if forward else F.lit(None).cast("long")
+    placed = _bucketed(df, keys, bucket, whole)
     rows = placed.drop(_HOT)
     packed = F.struct(*[F.col(name) for name in values])
     position = F.struct(*[F.col(name) for name in order])

@@ -70,12 +70,23 @@ def test_only_keys_with_many_rows_are_cut(spark, monkeypatch):
     wanted = {tuple(r) for r in rows.select("key", "n", F.lag("value").over(window)).collect()}
     for most in (0, 30, 100_000):
         monkeypatch.setattr(O, "WHOLE", most)
-        cut = {r.key for r in O._bucketed(rows, ["key"], O.number_bucket(F.col("n"), 9)).where("__bucket IS NOT NULL").select("key").collect()}
+        cut = {r.key for r in O._bucketed(rows, ["key"], O.number_bucket(F.col("n"), 9), F.lit(None).cast("long")).where("__bucket IS NOT NULL").select("key").collect()}
         assert ("hot" in cut) == (most <= 30) and ("k1" in cut) == (most == 0)
         got = O.previous_values(rows, ["key"], ["n"], O.number_bucket(F.col("n"), 9), ["value"]).select("key", "n", "prev_value")
         assert {tuple(r) for r in got.collect()} == wanted
 
 
+def test_rows_without_a_bucket_end_where_they_did(spark, monkeypatch):
+    """The row after one without an order value is not its neighbour; the other way round it is."""
+    rows = spark.createDataFrame([("a", None, 1), ("a", 5, 2), ("a", 30, 3)], "key string, n long, value int")
+    for most in (0, 100_000):
+        monkeypatch.setattr(O, "WHOLE", most)
+        after = O.next_values(rows, ["key"], ["n"], O.number_bucket(F.col("n"), 10), ["value"])
+        before = O.previous_values(rows, ["key"], ["n"], O.number_bucket(F.col("n"), 10), ["value"])
+        assert {r.value: r.next_value for r in after.collect()} == {1: None, 2: 3, 3: None}
+        assert {r.value: r.prev_value for r in before.collect()} == {1: None, 2: 1, 3: 2}
+
+
 def test_short_ranges_are_spelled_out_in_place(spark):
     ranges = spark.createDataFrame([("a", 1, 3), ("b", 2, 7), ("c", 4, 4)], "k string, first_ordinal long, last_ordinal long").withColumn("h", F.lit("x"))
     out = R.expand_ranges(ranges.select("k", "h", "first_ordinal", "last_ordinal"), chunk=4)
